@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def clean_items(items: Column) -> Column:
     """Trim every item and drop the empty ones and the text ``nan``."""
-    trimmed = F.transform(items, F.trim)
+    trimmed = F.transform(items, lambda x: F.trim(x))
     return F.filter(trimmed, lambda x: (x != "") & (F.lower(x) != "nan"))
 
 
@@ -86,4 +86,37 @@ def tokens(text: Column, pattern: str, stop_words: list[str] | None = None) -> C
 
 # Fixed patterns: a word of two or more letters, digits or underscores; an English word of three letters or more.
 WORD2 = r"[\p{L}\p{N}_]{2,}"
-WORD3 = r"[a-z]{3,}"
+ENGLISH_WORD = r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"
+
+
+def unordered_pairs(items: Column) -> Column:
+    """All pairs ``(a, b)`` of an array in which a stands before b."""
+    return F.flatten(
+        F.transform(
+            items,
+            lambda x, i: F.transform(
+                F.slice(items, i + 2, F.size(items) - i - 1), lambda y: F.struct(x.alias("a"), y.alias("b"))
+            ),
+        )
+    )
+
+
+def ordered_pairs(left: Column, right: Column) -> Column:
+    """All pairs ``(a, b)`` with a from the left array and b from the right one."""
+    return F.flatten(
+        F.transform(left, lambda x: F.transform(right, lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    )
+
+
+def keep_only(df: DataFrame, out: str, items: Column, allowed: Column) -> DataFrame:
+    """Adds ``out``: the items that are in ``allowed`` (a short array value), repeats and order kept."""
+    named = df.withColumn("_allowed", allowed)  # a subquery value may not stand inside a lambda
+    return named.withColumn(out, F.filter(items, lambda x: F.array_contains(F.col("_allowed"), x))).drop("_allowed")
+
+
+def array_value(df: DataFrame, col: str = "entity") -> Column:
+    """The sorted values of a short column (a top-N list) as one scalar array.
+
+    As a subquery value it replaces a join: the documents are filtered where they are read.
+    """
+    return df.agg(F.array_sort(F.collect_set(col)).alias("a")).scalar()

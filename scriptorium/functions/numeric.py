@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_number(col: str | Column, default: float | None = None, kind: str = "double") -> Column:
@@ -57,7 +58,7 @@ def _upper_gamma(a: float, x: float) -> float:
     return h * math.exp(log_front)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(stat: pd.Series, df: pd.Series) -> pd.Series:
     """Right tail of the chi-square distribution (runs on one summary row per table)."""
     vals = [

@@ -51,3 +51,14 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 def running(*order: Column) -> Window:
     """Running frame for tables whose size is bounded by construction (a top-k, a year grid)."""
     return Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def ranks_within(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """``rank`` 1..n inside each key without one task per key.
+
+    The rows are ranked over ``(keys, order)`` as a whole and the rank of the first row of the key
+    is taken off, so a key that holds most rows is spread over many ranges.
+    """
+    out = prefix_sums(df, [*[F.asc(k) for k in keys], *order], rank="_pos")
+    first = out.groupBy(*keys).agg((F.min("_pos") - 1).alias("_first"), F.count(F.lit(1)).alias("_size"))
+    return out.join(first, keys).withColumn(rank, (F.col("_pos") - F.col("_first")).cast("long")).drop("_pos", "_first")

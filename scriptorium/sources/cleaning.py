@@ -9,18 +9,29 @@ from pyspark.sql import functions as F
 def remove_stopwords(df: DataFrame, col: str, *lists: DataFrame | list[str]) -> DataFrame:
     """Drop whole keywords found (ignoring case) in any of the lists.
 
-    A stop list is a vocabulary: as a sorted array in a scalar subquery it needs no shuffle of the
-    documents.  Lists given as DataFrames are collected by Spark into that one value.
+    Python lists stay literals inside the scan stage; DataFrames of any size are anti-joined on the
+    exploded items and the lists are rebuilt in their order.
     """
     fixed = sorted({w.strip().lower() for x in lists if isinstance(x, list) for w in x if w.strip()})
-    kept = F.col(col)
-    if fixed:
-        kept = F.filter(kept, lambda k: ~F.lower(F.trim(k)).isin(*fixed))
+    out = df.withColumn(col, F.filter(col, lambda k: ~F.lower(F.trim(k)).isin(*fixed))) if fixed else df
     for table in (x for x in lists if not isinstance(x, list)):
-        words = table.select(F.lower(F.trim(F.col(table.columns[0]))).alias("w")).distinct()
-        big = words.agg(F.collect_list("w").alias("w")).scalar()
-        kept = F.filter(kept, lambda k, big=big: ~F.array_contains(big, F.lower(F.trim(k))))
-    return df.withColumn(col, kept)
+        words = table.select(F.lower(F.trim(F.col(table.columns[0]))).alias("_w"))
+        long = out.select("doc_id", F.posexplode(col).alias("_pos", "_item"))
+        kept = long.join(words, F.lower(F.trim("_item")) == F.col("_w"), "left_anti")
+        out = _rebuilt(out, col, kept)
+    return out
+
+
+def _rebuilt(df: DataFrame, col: str, long: DataFrame) -> DataFrame:
+    """Put the items of ``(doc_id, _pos, _item)`` back into the list column, in order."""
+    lists = long.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_item"))), lambda s: s["_item"]).alias("_new")
+    )
+    return (
+        df.join(lists, "doc_id", "left")
+        .withColumn(col, F.coalesce("_new", F.array().cast("array<string>")))
+        .drop("_new")
+    )
 
 
 def parse_synonyms(text: str) -> dict[str, str]:
@@ -53,13 +64,6 @@ def apply_synonyms(df: DataFrame, col: str, synonyms: dict[str, str] | DataFrame
     table = synonyms.select(F.lower(F.trim("variant")).alias("_v"), F.col("canonical").alias("_c")).dropDuplicates(["_v"])
     long = df.select("doc_id", F.posexplode(col).alias("_pos", "_item"))
     fixed = long.join(table, F.lower(F.trim("_item")) == F.col("_v"), "left").select(
-        "doc_id", F.struct("_pos", F.coalesce("_c", "_item").alias("_i")).alias("_s")
-    )
-    lists = fixed.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_i"]).alias("_new")
-    )
-    return (
-        df.join(lists, "doc_id", "left")
-        .withColumn(col, F.coalesce("_new", F.array().cast("array<string>")))
-        .drop("_new")
+        "doc_id", "_pos", F.coalesce("_c", "_item").alias("_item")
     )
+    return _rebuilt(df, col, fixed)
