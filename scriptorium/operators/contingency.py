@@ -14,6 +14,7 @@ from ..functions import linear
 from ..functions.lists import array_value, clean_items, explode_entities, keep_only, ordered_pairs
 from ..functions.numeric import chi2_tail
 from ..functions.ordering import top
+from ..functions.scratch import cut
 from .groups import grouped_entities
 from .selection import any_pattern, frequent_items
 
@@ -70,7 +71,11 @@ def group_table(
 
 
 def with_totals(cells: DataFrame) -> DataFrame:
-    """Adds row, column and grand totals as small joined tables (no window over a hot column)."""
+    """Adds row, column and grand totals as small joined tables (no window over a hot column).
+
+    The table is short (top rows times top columns) and read several times, so it is written once.
+    """
+    cells = cut(cells)
     r = cells.groupBy("row").agg(F.sum("n").alias("row_total"))
     c = cells.groupBy("col").agg(F.sum("n").alias("col_total"))
     g = cells.agg(F.sum("n")).scalar()
@@ -79,6 +84,7 @@ def with_totals(cells: DataFrame) -> DataFrame:
 
 def full_table(cells: DataFrame) -> DataFrame:
     """All cells of the table, zeros included, with totals."""
+    cells = cut(cells)
     r = cells.groupBy("row").agg(F.sum("n").alias("row_total"))
     c = cells.groupBy("col").agg(F.sum("n").alias("col_total"))
     grid = r.select("row", "row_total", F.explode(array_value(c, "col")).alias("col")).join(c, "col")
