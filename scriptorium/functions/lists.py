@@ -67,9 +67,10 @@ def ngrams(tokens: Column, n_min: int, n_max: int) -> Column:
     """All word n-grams of a token array, ``n_min <= n <= n_max``, in one array."""
 
     def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n))
         starts = F.coalesce(starts, F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        # single look-ups: a slice would copy the whole token list for every position
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
 
     parts = [tokens if n == 1 else of(n) for n in range(n_min, n_max + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)

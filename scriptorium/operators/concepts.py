@@ -194,11 +194,12 @@ def term_ngrams(df: DataFrame, text: str, stop_words: list[str], n_min: int = 1,
 def term_lists(df: DataFrame, col: str, kind: str = "list") -> DataFrame:
     """``(doc_id, terms)``: lower-cased items, or the words longer than two letters of a text."""
     if kind == "text":
-        terms = F.filter(F.split(F.lower(F.trim(col)), r"\s+"), lambda x: F.length(x) > 2)
-    else:
-        from ..functions.lists import as_items
+        terms = F.filter(F.split(F.lower(F.trim(F.col(col))), r"\s+"), lambda x: F.length(x) > 2)
+        # the condition is on the raw text: one on the list would be pushed down and split the text twice
+        return df.filter(F.col(col).rlike(r"\S{3,}")).select("doc_id", terms.alias("terms"))
+    from ..functions.lists import as_items
 
-        terms = F.transform(as_items(df, col), lambda x: F.lower(x))
+    terms = F.transform(as_items(df, col), lambda x: F.lower(x))
     return df.select("doc_id", terms.alias("terms")).filter(F.size("terms") > 0)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
 from .impact import indices
 
 # Class names and reported percentiles.
@@ -90,6 +91,7 @@ def histogram(
     into the last bin.  The values are collapsed first, so wide data costs one small shuffle.
     """
     vc = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    vc = cut(vc)  # read for the bounds and again for the bins
     if clip_percentile is not None:
         cap = vc.agg(F.percentile("v", F.lit(clip_percentile / 100), F.col("n"))).scalar()
         vc = vc.withColumn("_cap", cap).select(F.greatest(F.lit(0.0), F.least("v", "_cap")).alias("v"), "n")

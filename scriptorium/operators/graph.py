@@ -30,32 +30,33 @@ STOP_WORDS = (
 # --- building -------------------------------------------------------------------------------------
 
 
-def network_items(works: DataFrame, kind: str, ngram: int = 2, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """The items of each work for one of the ten kinds of network."""
-    fields = {
-        "author_keywords": "author_keywords", "index_keywords": "index_keywords", "coauthorship": "authors",
-        "co_citation": "references", "country_collab": "countries", "institution_collab": "affiliations",
-    }
-    if kind in fields:
-        return as_items(works, fields[kind])
+def network_items(
+    works: DataFrame, kind: str, ngram: int = 2, stop_words: tuple[str, ...] = STOP_WORDS
+) -> tuple[DataFrame, Column]:
+    """A table and its items column for one of the ten kinds of network (or any list column).
+
+    The items stay an expression: exploding a named column would let the optimizer push a size test
+    below the step that builds it, and so build it twice.
+    """
+    fields = {"coauthorship": "authors", "co_citation": "references", "country_collab": "countries", "institution_collab": "affiliations"}
+    empty = F.array().cast("array<string>")
     if kind == "all_keywords":
-        empty = F.array().cast("array<string>")
-        return F.concat(*[F.coalesce(as_items(works, c), empty) for c in ("author_keywords", "index_keywords")])
+        return works, F.concat(*[F.coalesce(as_items(works, c), empty) for c in ("author_keywords", "index_keywords")])
     if kind == "source_cocitation":
         third = F.transform(as_items(works, "references"), lambda r: F.trim(F.get(F.split(r, ","), F.lit(2))))
-        return clean_items(F.filter(third, lambda x: x.isNotNull()))
+        return works, clean_items(F.filter(third, lambda x: x.isNotNull()))
     if kind in ("title_ngrams", "abstract_ngrams"):
-        words = tokens(F.col(kind.split("_")[0]), ENGLISH_WORD, list(stop_words))
-        return ngrams(words, ngram, ngram)
-    raise ValueError(kind)
+        words = works.select(tokens(F.col(kind.split("_")[0]), ENGLISH_WORD, list(stop_words)).alias("_t"))
+        return words, ngrams(F.col("_t"), ngram, ngram)
+    return works, as_items(works, fields.get(kind, kind))
 
 
-def item_counts(works: DataFrame, items: Column) -> DataFrame:
-    return works.select(F.explode(items).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("docs"))
+def item_counts(table: DataFrame, items: Column) -> DataFrame:
+    return table.select(F.explode(items).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def cooccurrence_network(
-    works: DataFrame, items: Column, top_n: int = 50, min_docs: int = 2, min_edge: int = 1, normalise: bool = False,
+    works: DataFrame, kind: str, top_n: int = 50, min_docs: int = 2, min_edge: int = 1, normalise: bool = False,
     repeats: bool = False, **filters,
 ) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)``: nodes are the ``top_n`` items, an edge counts the documents with both.
@@ -64,11 +65,12 @@ def cooccurrence_network(
     the build carries at most ``top_n**2 / 2`` pre-aggregated pairs per task.  ``repeats`` counts
     pairs with the repeats inside a document.
     """
-    counts = item_counts(works, items)
+    table, items = network_items(works, kind)
+    counts = item_counts(table, items)
     nodes = frequent_items(counts, min_docs, top_n, **filters).select(F.col("entity").alias("node"), F.col("docs").alias("occurrences"))
-    inside = keep_only(works.select(items.alias("_i")), "_i", F.col("_i"), array_value(nodes, "node"))
-    listed = F.array_sort("_i" if repeats else F.array_distinct("_i")).alias("_i")
-    pairs = inside.select(listed).filter(F.size("_i") > 1).select(F.explode(unordered_pairs(F.col("_i"))).alias("p"))
+    inside = keep_only(table, "_i", items, array_value(nodes, "node"))
+    listed = inside.select(F.array_sort("_i" if repeats else F.array_distinct("_i")).alias("_i"))
+    pairs = listed.select(F.explode(unordered_pairs(F.col("_i"))).alias("p"))
     pairs = pairs.select(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).filter("src <> dst")
     edges = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= min_edge)
     if normalise:
@@ -129,6 +131,12 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # --- iterations --------------------------------------------------------------------------------------
 
 
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """Written once, hash-partitioned by ``key``, so that the rounds of a loop do not shuffle it again."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartition(n, key))
+
+
 def _iterate(state: DataFrame, step, key: str, value: str, tol: float, max_rounds: int, every: int = 4) -> DataFrame:
     """Repeat ``step`` until the largest change of ``value`` in one round is below ``tol``."""
     state = cut(state)
@@ -148,20 +156,17 @@ def _iterate(state: DataFrame, step, key: str, value: str, tol: float, max_round
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-10, max_rounds: int = 100) -> DataFrame:
     """``(node, pagerank)``, weighted; the rank of nodes without edges is spread evenly."""
-    names = cut(nodes.select("node").distinct())
+    names = placed(nodes.select("node").distinct(), "node")
     n = names.count()
     e = both_ways(edges)
     out = e.groupBy("src").agg(F.sum("weight").alias("_t"))
-    share = cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("p")))
-    loose = names.join(share.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    has_loose = bool(loose.take(1))
+    share = placed(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("p")), "src")
+    # nodes without edges get nothing from neighbours, so what they spread is the same in every round
+    loose = names.join(share.select(F.col("src").alias("node")).distinct(), "node", "left_anti").count()
+    base = F.lit((1 - damping) / n / (1 - damping * loose / n)) if n else F.lit(0.0)
 
     def step(r: DataFrame) -> DataFrame:
         got = share.join(r, share["src"] == r["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pagerank") * F.col("p")).alias("_in"))
-        base = F.lit((1 - damping) / n)
-        if has_loose:
-            spare = r.join(loose, "node", "left_semi").agg(F.sum("pagerank")).scalar()
-            base = base + damping * spare / n
         return names.join(got, "node", "left").select("node", (base + damping * F.coalesce("_in", F.lit(0.0))).alias("pagerank"))
 
     start = names.withColumn("pagerank", F.lit(1.0 / max(n, 1)))
@@ -170,18 +175,32 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: flo
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-10, max_rounds: int = 200) -> DataFrame:
     """``(node, eigenvector)``: principal eigenvector of the weighted table, length one."""
-    names = cut(nodes.select("node").distinct())
-    e = cut(both_ways(edges))
+    names = placed(nodes.select("node").distinct(), "node")
+    e = placed(both_ways(edges), "src")
+
+    top_degree = degrees(edges).agg(F.max("weighted_degree")).first()[0] or 1
 
     def step(r: DataFrame) -> DataFrame:
         got = e.join(r, e["src"] == r["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("eigenvector") * F.col("weight")).alias("_in"))
-        # x + A x keeps two-sided graphs from swinging
-        x = names.join(r, "node").join(got, "node", "left").select("node", (F.col("eigenvector") + F.coalesce("_in", F.lit(0.0))).alias("x"))
-        norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar()
-        return x.withColumn("_norm", norm).select("node", (F.col("x") / F.col("_norm")).alias("eigenvector"))
-
-    start = names.withColumn("eigenvector", F.lit(1.0))
-    return _iterate(start, step, "node", "eigenvector", tol, max_rounds, every=3)
+        # adding x keeps two-sided graphs from swinging; the largest degree bounds the growth of a round
+        grown = (F.col("eigenvector") + F.coalesce("_in", F.lit(0.0)) / top_degree * 4)
+        return names.join(r, "node").join(got, "node", "left").select("node", grown.alias("eigenvector"))
+
+    def unit(r: DataFrame) -> DataFrame:
+        norm = r.agg(F.sqrt(F.sum(F.col("eigenvector") * F.col("eigenvector")))).first()[0] or 1.0
+        return r.withColumn("eigenvector", F.col("eigenvector") / norm)
+
+    state = cut(unit(names.withColumn("eigenvector", F.lit(1.0))))
+    for _ in range(0, max_rounds, 5):
+        new = state
+        for _ in range(5):
+            new = step(new)
+        new = unit(cut(new))
+        gap = new.join(state.withColumnRenamed("eigenvector", "_o"), "node").agg(F.max(F.abs(F.col("eigenvector") - F.col("_o")))).first()[0] or 0.0
+        state = new
+        if gap < tol:
+            break
+    return state
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -352,42 +371,40 @@ def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 12, max_le
 
 
 def _local_moving(edges: DataFrame, two_m: float, max_rounds: int) -> tuple[DataFrame, bool]:
-    """``(node, c)`` after moving nodes of a (both-way) level while the modularity rises."""
-    k = cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    links = edges.filter("src <> dst")
-    state = k.select("node", F.col("node").alias("c"), "k")
-    best_q, best, start_q = None, state, None
+    """``(node, c)`` after moving nodes of a (both-way) level while the modularity rises.
+
+    The step that picks the next community of a node also sees what its present one is worth, so the
+    modularity of the present state costs only one sum over the written table.
+    """
+    k = placed(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("loop")), "node")
+    links = placed(edges.filter("src <> dst"), "dst")
+    state = k.select("node", F.col("node").alias("c"), "k", "loop")
+    best_q, best, last = None, state, []
     for i in range(max_rounds):
         tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
         to = links.join(state.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
         own = state.select("node", F.col("c").alias("to"), F.lit(0.0).alias("w"))  # staying is always an option
         opts = to.unionByName(own).groupBy("node", "to").agg(F.sum("w").alias("w"))
         opts = opts.join(state, "node").join(tot.withColumnRenamed("c", "to"), "to")
-        mine = F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("k") * (F.col("tot") - mine) / two_m, 9)
-        scored = opts.select("node", "c", "k", "to", gain.alias("g"))
-        pick = scored.groupBy("node", "c", "k").agg(
-            F.max("g").alias("gmax"), F.max(F.when(F.col("to") == F.col("c"), F.col("g"))).alias("gown"),
-            F.min(F.struct((-F.col("g")).alias("n"), F.col("to").alias("t"))).alias("b"),
+        here = F.col("to") == F.col("c")
+        gain = F.round(F.col("w") - F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)) / two_m, 9)
+        pick = opts.withColumn("g", gain).groupBy("node", "c", "k", "loop").agg(
+            F.max("g").alias("gmax"), F.max(F.when(here, F.col("g"))).alias("gown"), F.max(F.when(here, F.col("w"))).alias("w_own"),
+            F.max(F.when(here, F.col("tot"))).alias("tot_own"), F.min(F.struct((-F.col("g")).alias("n"), F.col("to").alias("t"))).alias("b"),
         )
+        wants = F.col("gmax") > F.col("gown")
         turn = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        moves = (F.col("gmax") > F.col("gown")) & turn
-        state = cut(pick.select("node", F.when(moves, F.col("b.t")).otherwise(F.col("c")).alias("c"), "k", (F.col("gmax") > F.col("gown")).alias("wants")))
-        inside = edges.join(state.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(
-            state.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b").agg(F.sum("weight"))
-        row = state.groupBy("c").agg(F.sum("k").alias("t"), F.max(F.col("wants").cast("int")).alias("w")).agg(
-            F.sum(F.col("t") * F.col("t")).alias("s"), F.max("w").alias("w")
-        ).withColumn("inside", inside.scalar()).first()
-        q = (row["inside"] or 0.0) / two_m - row["s"] / two_m**2
-        state = state.select("node", "c", "k")
-        if start_q is None:
-            start_q = None if best_q is None else best_q
+        new = cut(pick.select(
+            "node", F.when(wants & turn, F.col("b.t")).otherwise(F.col("c")).alias("c"), "k", "loop", F.col("c").alias("_c"), wants.cast("int").alias("wants"), "w_own", "tot_own"
+        ))
+        row = new.agg(F.sum(F.col("w_own") + F.col("loop")).alias("i"), F.sum(F.col("k") * F.col("tot_own")).alias("s"), F.max("wants").alias("w")).first()
+        q = row["i"] / two_m - row["s"] / two_m**2
         if best_q is None or q > best_q + 1e-9:
-            best_q, best = q, state
-        elif not row["w"] or i >= 3:
-            break
-        if not row["w"]:
+            best_q, best = q, new.select("node", F.col("_c").alias("c"))
+        last.append(q)
+        if not row["w"] or (i >= 3 and q <= last[-3] + 1e-9):
             break
+        state = new.select("node", "c", "k", "loop")
     moved = best.filter("node <> c").limit(1).count() > 0
     return best.select("node", "c"), moved
 
@@ -412,9 +429,9 @@ def node_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 QUADRANTS = ("Motor Themes", "Niche Themes", "Basic Themes", "Emerging/Declining")
 
 
-def thematic_network(works: DataFrame, items: Column, min_docs: int = 2, top_n: int = 100) -> tuple[DataFrame, DataFrame]:
+def thematic_network(works: DataFrame, kind: str, min_docs: int = 2, top_n: int = 100) -> tuple[DataFrame, DataFrame]:
     """Co-occurrence with the repeats inside a document."""
-    return cooccurrence_network(works, items, top_n, min_docs, repeats=True)
+    return cooccurrence_network(works, kind, top_n, min_docs, repeats=True)
 
 
 def thematic_map(nodes: DataFrame, edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -29,6 +29,12 @@ def _empty() -> Column:
     return F.array().cast(NONE)
 
 
+def _each() -> Column:
+    """One row per group.  Not a bare column, on which the optimizer would test the size once more
+    below the expressions that define the groups."""
+    return F.explode(F.array_compact("groups"))
+
+
 # --- definition -------------------------------------------------------------------------------
 
 
@@ -147,7 +153,7 @@ def encode_groups(works: DataFrame, names: list[str], prefix: str = "Group: ") -
 def group_summary(works: DataFrame) -> DataFrame:
     """``(rank, group, docs, percentage)``; documents in no group count in the base."""
     n = works.agg(F.count(F.lit(1))).scalar()
-    per = works.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("docs"))
+    per = works.select(_each().alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("docs"))
     ranked = prefix_sums(per, [F.desc("docs"), F.asc("group")])
     return ranked.select(F.col("rank").cast("long").alias("rank"), "group", "docs", (F.col("docs") / n * 100).alias("percentage"))
 
@@ -156,7 +162,7 @@ def group_summary(works: DataFrame) -> DataFrame:
 
 
 def group_sizes(works: DataFrame) -> DataFrame:
-    return works.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    return works.select(_each().alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("size"))
 
 
 def grouped_entities(works: DataFrame, col: str, kind: str = "list", distinct: bool = False) -> DataFrame:
@@ -166,7 +172,7 @@ def grouped_entities(works: DataFrame, col: str, kind: str = "list", distinct: b
         long = works.withColumn("_t", tokens(F.col(col), WORD2)).select("groups", F.explode(items).alias("entity"))
     else:
         long = explode_entities(works, col, "groups", kind=kind, distinct=distinct)
-    return long.select(F.explode("groups").alias("group"), "entity")
+    return long.select(_each().alias("group"), "entity")
 
 
 def counts_across_groups(works: DataFrame, col: str, kind: str = "list", shared_only: bool = False) -> DataFrame:
@@ -226,7 +232,7 @@ def count_all_types(works: DataFrame, fields: dict[str, str], shared_only: bool
         items = clean_items(F.col(col)) if kind == "list" else clean_items(F.array(F.col(col).cast("string")))
         stacked.append(_tagged(items, col))
     long = works.select("groups", F.explode(F.concat(*stacked)).alias("p")).select(
-        F.explode("groups").alias("group"), F.col("p.entity_type").alias("entity_type"), F.col("p.entity").alias("entity")
+        _each().alias("group"), F.col("p.entity_type").alias("entity_type"), F.col("p.entity").alias("entity")
     )
     per = long.groupBy("entity_type", "group", "entity").agg(F.count(F.lit(1)).alias("docs"))
     return _group_ranks(per, works, ["entity_type", "group"], shared_only)
@@ -294,7 +300,7 @@ def group_entity_stats(works: DataFrame, col: str, kind: str = "list", top_n: in
     best = top((count_single if kind == "single" else count_list)(works, col), top_n, F.desc("docs"), F.asc("entity"))
     long = explode_entities(works, col, "groups", "cited_by", "year", kind=kind, distinct=True)
     long = long.filter(F.array_contains(array_value(best), F.col("entity")))
-    long = long.select(F.explode("groups").alias("group"), "entity", "cited_by", "year")
+    long = long.select(_each().alias("group"), "entity", "cited_by", "year")
     return indices(long, ["group", "entity"]).select("group", "entity", "docs", "total_citations", "h_index", "mean_year")
 
 
@@ -350,7 +356,7 @@ def similarity(works: DataFrame) -> DataFrame:
     pats = patterns(works)
     pairs = pats.select(F.explode(ordered_pairs(F.col("groups"), F.col("groups"))).alias("p"), "size")
     both = pairs.groupBy(F.col("p.a").alias("group_a"), F.col("p.b").alias("group_b")).agg(F.sum("size").alias("n"))
-    sizes = pats.select(F.explode("groups").alias("g"), "size").groupBy("g").agg(F.sum("size").alias("s"))
+    sizes = pats.select(_each().alias("g"), "size").groupBy("g").agg(F.sum("size").alias("s"))
     names = array_value(sizes, "g")
     # group list times group list: both as short as the number of groups
     grid = sizes.select(F.col("g").alias("group_a"), F.col("s").alias("size_a"), F.explode(names).alias("group_b"))

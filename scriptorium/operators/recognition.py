@@ -1,7 +1,7 @@
 """Yearly citation histories: delayed recognition and citation patterns.
 
-A history is one short array per work (a value per year of age), built by one aggregation; every
-measure is an expression on that array inside the row.
+A history has one row per work and year of age, zeros included.  The yearly counts are shuffled once
+by work; windows and the final aggregate reuse that partitioning (a work has as many rows as years).
 
 Beauty coefficient and awakening year follow Ke, Ferrara, Radicchi and Flammini (PNAS 2015).  The
 pattern thresholds are this library's own and are parameters.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PATTERNS = ("Evergreen", "Flash-in-the-pan", "Delayed Recognition", "Sleeping Beauty", "Normal", "Uncited", "Too Recent")
@@ -34,7 +34,7 @@ def parse_history_json(df: DataFrame, col: str) -> DataFrame:
 
 
 def histories(counts: DataFrame, published: DataFrame | None = None, current_year: int | None = None) -> DataFrame:
-    """``(doc_id, publication_year, h)`` with ``h[t]`` the citations at age t up to the current year.
+    """``(doc_id, publication_year, t, c)``: citations at every age t up to the current year.
 
     ``published (doc_id, year)`` gives publication years and works without citations; without it the
     first cited year is taken.  The current year defaults to the last year of the counts.
@@ -49,42 +49,49 @@ def histories(counts: DataFrame, published: DataFrame | None = None, current_yea
         per = per.withColumn("publication_year", F.col("first"))
     now = F.lit(current_year) if current_year else counts.agg(F.max("year")).scalar()
     d = per.withColumn("_now", now).filter(F.col("publication_year") <= F.col("_now"))
-    h = F.transform(F.sequence("publication_year", "_now"), lambda y: F.coalesce(F.try_element_at("m", y), F.lit(0)))
-    return d.select("doc_id", "publication_year", h.cast("array<bigint>").alias("h"))
+    rows = d.select("doc_id", "publication_year", "m", F.explode(F.sequence("publication_year", "_now")).alias("year"))
+    cites = F.coalesce(F.try_element_at("m", F.col("year")), F.lit(0)).cast("long")
+    return rows.select("doc_id", "publication_year", (F.col("year") - F.col("publication_year")).alias("t"), cites.alias("c"))
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+def _work() -> Window:
+    return Window.partitionBy("doc_id")
 
 
-def _mean(a: Column) -> Column:
-    return F.when(F.size(a) > 0, _sum(a) / F.size(a))
+def _with_peak(hist: DataFrame) -> DataFrame:
+    """Adds total, peak value (cm), its first age (tm) and the value at age zero (c0) to every row."""
+    w = _work()
+    d = hist.withColumns({
+        "total": F.sum("c").over(w), "cm": F.max("c").over(w), "c0": F.max(F.when(F.col("t") == 0, F.col("c"))).over(w), "age": F.max("t").over(w),
+    })
+    return d.withColumn("tm", F.min(F.when(F.col("c") == F.col("cm"), F.col("t"))).over(w))
 
 
 def beauty(hist: DataFrame) -> DataFrame:
-    """Adds total, peak, beauty coefficient, awakening year, sleep duration and awakening intensity.
+    """Per work: total, peak, beauty coefficient, awakening year, sleep duration and awakening intensity.
 
     ``beauty_coefficient`` sums the gap between the line from the first to the peak year and the
     curve; the awakening is where the curve is farthest below the line; intensity is the mean yearly
     citations from the awakening on over the mean before it (null where that is zero).
     """
-    d = hist.withColumns({"total_citations": _sum(F.col("h")), "max_citations_in_year": F.array_max("h")})
-    d = d.withColumn("_tm", (F.array_position("h", F.col("max_citations_in_year")) - 1).cast("int"))
-    c0, cm, tm = F.col("h")[0], F.col("max_citations_in_year"), F.col("_tm")
-    rise = F.slice("h", 1, tm + 1)
-    gaps = F.transform(rise, lambda c, t: ((cm - c0) / tm * t + c0 - c) / F.greatest(F.lit(1), c))
-    b = F.when(tm > 0, F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x)).otherwise(0.0)
+    w = _work()
+    d = _with_peak(hist)
+    t, c, tm, c0, rise = (F.col("t"), F.col("c"), F.col("tm"), F.col("c0"), F.col("cm") - F.col("c0"))
+    rising = (tm > 0) & (t <= tm)
+    gap = F.when(rising, (rise / tm * t + c0 - c) / F.greatest(F.lit(1), c)).otherwise(0.0)
     # distance to the line times its constant length: integers, so ties are exact (first one wins)
-    far = F.transform(rise, lambda c, t: F.abs((cm - c0) * t - tm * c + tm * c0))
-    d = d.withColumns({"beauty_coefficient": b, "_far": far})
-    d = d.withColumn("sleep_duration", F.when(tm > 0, (F.array_position("_far", F.array_max("_far")) - 1).cast("int")).otherwise(0))
-    s = F.col("sleep_duration")
-    after = _mean(F.slice("h", s + 1, F.size("h") - s))
-    before = _mean(F.slice("h", F.lit(1), s))
-    return d.withColumns({
-        "awakening_year": F.col("publication_year") + s,
-        "awakening_intensity": F.when(before > 0, after / before),
-    }).drop("_tm", "_far")
+    d = d.withColumns({"_gap": gap, "_far": F.when(rising, F.abs(rise * t - tm * c + tm * c0))})
+    d = d.withColumn("_max", F.max("_far").over(w))
+    d = d.withColumn("sl", F.coalesce(F.min(F.when(F.col("_far") == F.col("_max"), t)).over(w), F.lit(0)))
+    s = F.col("sl")
+    out = d.groupBy("doc_id", "publication_year").agg(
+        F.max("total").alias("total_citations"), F.max("cm").alias("max_citations_in_year"), F.sum("_gap").alias("beauty_coefficient"),
+        F.max("sl").alias("sleep_duration"), F.avg(F.when(t >= s, c)).alias("_after"), F.avg(F.when(t < s, c)).alias("_before"),
+    )
+    return out.withColumns({
+        "awakening_year": F.col("publication_year") + F.col("sleep_duration"),
+        "awakening_intensity": F.when(F.col("_before") > 0, F.col("_after") / F.col("_before")),
+    }).drop("_after", "_before")
 
 
 def sleeping_beauties(
@@ -101,12 +108,12 @@ def by_publication_year(results: DataFrame) -> DataFrame:
     return results.groupBy("publication_year").agg(F.count(F.lit(1)).alias("works"))
 
 
-def trajectories(results: DataFrame, n: int = 8, normalise: bool = True, order: Column | None = None) -> DataFrame:
+def trajectories(hist: DataFrame, results: DataFrame, n: int = 8, normalise: bool = True, order: Column | None = None) -> DataFrame:
     """``(doc_id, year, citations, value)`` of the first ``n`` results, divided by their maximum."""
-    best = results.orderBy(order if order is not None else F.desc("beauty_coefficient"), "doc_id").limit(n)
-    rows = best.select("doc_id", "publication_year", F.array_max("h").alias("_m"), F.posexplode("h").alias("_t", "citations"))
-    value = F.when(F.col("_m") > 0, F.col("citations") / F.col("_m")).otherwise(0.0) if normalise else F.col("citations").cast("double")
-    return rows.select("doc_id", (F.col("publication_year") + F.col("_t")).alias("year"), "citations", value.alias("value"))
+    best = results.orderBy(order if order is not None else F.desc("beauty_coefficient"), "doc_id").limit(n).select("doc_id")
+    rows = hist.join(best, "doc_id", "left_semi").withColumn("_m", F.max("c").over(_work()))
+    value = F.when(F.col("_m") > 0, F.col("c") / F.col("_m")).otherwise(0.0) if normalise else F.col("c").cast("double")
+    return rows.select("doc_id", (F.col("publication_year") + F.col("t")).alias("year"), F.col("c").alias("citations"), value.alias("value"))
 
 
 @dataclass(frozen=True)
@@ -134,19 +141,21 @@ def citation_patterns(hist: DataFrame, rules: PatternRules = PatternRules()) ->
     to the last year; confidence: 1 for a work with enough citations and twice the minimum age.
     """
     r = rules
-    d = hist.withColumns({"age": F.size("h") - 1, "total_citations": _sum(F.col("h")), "peak_citations": F.array_max("h")})
-    d = d.withColumn("years_to_peak", (F.array_position("h", F.col("peak_citations")) - 1).cast("int"))
-    run = F.transform("h", lambda _, t: _sum(F.slice("h", F.lit(1), t + 1)))
+    d = _with_peak(hist).withColumn("run", F.sum("c").over(_work().orderBy("t")))
+    t, c, whole = F.col("t"), F.col("c"), F.col("total")
+    since = F.col("age") - F.col("tm")
+    loss = F.when((t == F.col("age")) & (since > 0), 1 - F.pow(c / F.col("cm"), F.lit(1.0) / since))
+    d = d.groupBy("doc_id", "publication_year").agg(
+        F.max("age").alias("age"), F.max("total").alias("total_citations"), F.max("cm").alias("peak_citations"), F.max("tm").alias("years_to_peak"),
+        F.min(F.when(2 * F.col("run") >= whole, t)).alias("half_life"), F.max(loss).alias("decay_rate"),
+        (F.sum(F.when(t < r.early_years, c).otherwise(0)) / F.nullif(F.max("total"), F.lit(0)) * 100).alias("early_pct"),
+        (F.sum(F.when(t > F.col("age") - r.late_years, c).otherwise(0)) / F.nullif(F.max("total"), F.lit(0)) * 100).alias("late_pct"),
+    )
     total, age, peak = F.col("total_citations"), F.col("age"), F.col("years_to_peak")
-    half = F.array_position(F.transform(run, lambda x: 2 * x >= total), F.lit(True)) - 1
-    since = age - peak
-    decay = F.when(since > 0, 1 - F.pow(F.element_at("h", -1) / F.col("peak_citations"), F.lit(1.0) / since))
-    early = _sum(F.slice("h", F.lit(1), F.lit(r.early_years))) / total * 100
-    late = _sum(F.slice("h", F.greatest(F.lit(1), F.size("h") - r.late_years + 1), F.lit(r.late_years))) / total * 100
     cited = total > 0
     d = d.withColumns({
-        "peak_year": F.when(cited, F.col("publication_year") + peak), "half_life": F.when(cited, half.cast("int")),
-        "decay_rate": F.when(cited, decay), "early_pct": F.when(cited, early), "late_pct": F.when(cited, late),
+        "peak_year": F.when(cited, F.col("publication_year") + peak), "half_life": F.when(cited, F.col("half_life")),
+        "decay_rate": F.when(cited, F.col("decay_rate")),
     })
     e, lt = F.col("early_pct"), F.col("late_pct")
     pattern = (
