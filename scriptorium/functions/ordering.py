@@ -19,7 +19,7 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``rank`` (1..n over ``order``) and for each ``out: col`` the inclusive running sum."""
     sums = sums or {}
-    parts = cut(df.repartitionByRange(*order)).withColumn("_range", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     per_range = parts.groupBy("_range").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
     )

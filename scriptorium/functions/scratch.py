@@ -30,9 +30,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably (survives lost executors) and forget the plan that led here."""
+    """Write to the shared scratch folder and read back: survives lost executors, forgets the plan.
+
+    A written table also has its true size, which lets Spark broadcast the short ones.  (A checkpoint
+    keeps the estimate of the plan that led to it; in a loop of joins those estimates multiply.)
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """A reliable checkpoint, hash-partitioned by ``key``, so that the rounds of a loop do not shuffle it again."""
     spark = df.sparkSession
     root = scratch_root(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).checkpoint(eager=True)
