@@ -213,7 +213,7 @@ def strong_components(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
         kind = links.schema["citing"].dataType.simpleString()
         return links.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     many = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return found.join(many, "component", "left_semi")
+    return found.join(many, "component", "left_semi").select("node", "component")
 
 
 def condense(links: DataFrame) -> DataFrame:
