@@ -81,7 +81,10 @@ def yearly_cites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    """The texts; a table of fewer file splits than cores is spread out first, a large one is left alone."""
+    df = table(spark, d, "documents")
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n, "doc_id") if df.rdd.getNumPartitions() < n else df
 
 
 # --- the same views as SQL -------------------------------------------------------------------

@@ -11,7 +11,7 @@ from ..operators import graph as N
 from ..operators import recognition as R
 from ..operators import selection as S
 from ..operators.distribution import histogram
-from .fixtures import CITES, WORKS, YEARLY, citations, long_sql, scalars, table, with_sql, works, yearly_cites
+from .fixtures import CITES, WORKS, YEARLY, citations, documents, long_sql, scalars, table, with_sql, works, yearly_cites
 from .registry import query, rounded
 
 NET = with_sql(
@@ -78,7 +78,7 @@ def _(spark, d):
     SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL""",
 )
 def _(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.col("text").alias("abstract"))
+    w = documents(spark, d).select("doc_id", F.col("text").alias("abstract"))
     return N.cooccurrence_network(w, "abstract_ngrams", 60)[1]
 
 
