@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import packing, token_blocks
+from . import packing, suffix_dedup, token_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,11 @@ def op3(spark, d):
     token_blocks.write_token_files(table(spark, d, "documents"), path, BYTE_BPE)
     docs = token_blocks.read_token_files(spark, path)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, d):
+    """One row per document: how much of it repeats, and a digest of what stays."""
+    found = suffix_dedup.repeats(table(spark, d, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["size"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
