@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import packing, suffix_dedup, token_blocks
+from . import decontaminate, ngram_join, packing, suffix_dedup, token_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,27 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: ``words`` of a text after lower-casing A-Z, and ``shingles`` of ``{k}`` words (the whole of a shorter text).
+WORDS_SQL = """{name}_words AS (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {name}),
+{name}_sets AS (SELECT DISTINCT {id}, array_to_string(w[i : i + {k} - 1], ' ') AS s
+  FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - {k} + 1, 1) + 1)) AS i FROM {name}_words WHERE len(w) > 0)),
+{name}_sizes AS (SELECT {id}, count(*) AS n FROM {name}_sets GROUP BY {id})"""
+
+OP4_SQL = "WITH RECURSIVE " + WORDS_SQL.format(name="documents", id="doc_id", k=4) + """,
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM documents_sets a JOIN documents_sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN documents_sizes a ON x = a.doc_id JOIN documents_sizes b ON y = b.doc_id
+  WHERE 100 * common >= 85 * (a.n + b.n - common)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM reach LEFT JOIN documents_sizes ON x = doc_id GROUP BY x"""
+
+OP10_SQL = "WITH " + WORDS_SQL.format(name="documents", id="doc_id", k=5) + ",\n" + WORDS_SQL.format(name="benchmark", id="item_id", k=5) + """,
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM documents_sets JOIN benchmark_sets USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item, n_shared FROM shared JOIN benchmark_sizes USING (item_id) WHERE 100 * n_shared >= 80 * n"""
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -53,3 +74,15 @@ def op2(spark, d):
     found = suffix_dedup.repeats(table(spark, d, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["size"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_ngram_join", OP4_SQL)
+def op4(spark, d):
+    """One row per document with its component."""
+    return ngram_join.similar_documents(table(spark, d, "documents"), words=4, num=85, den=100)
+
+
+@query("op10_decontamination", OP10_SQL)
+def op10(spark, d):
+    """One row per document and benchmark item that it contains."""
+    return decontaminate.contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
