@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import decontaminate, ngram_join, packing, suffix_dedup, token_blocks
+from . import decontaminate, ngram_join, packing, suffix_dedup, token_blocks, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,13 @@ def op4(spark, d):
 def op10(spark, d):
     """One row per document and benchmark item that it contains."""
     return decontaminate.contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op9_toxicity")
+def op9(spark, d):
+    """One row per document with its score; the labels of a quarter of the ids are never looked at."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, d, "labels").filter(~held))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
