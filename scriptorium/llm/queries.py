@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import decontaminate, ngram_join, packing, suffix_dedup, token_blocks, toxicity
+from . import decontaminate, language, ngram_join, packing, suffix_dedup, token_blocks, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +96,12 @@ def op9(spark, d):
     model = toxicity.fit(docs, table(spark, d, "labels").filter(~held))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_language")
+def op7(spark, d):
+    """One row per document with its predicted language; a fifth of the ids teaches nothing."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~held))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
