@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import decontaminate, language, ngram_join, packing, suffix_dedup, token_blocks, toxicity
+from . import decontaminate, language, ngram_join, packing, quality, suffix_dedup, token_blocks, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +105,31 @@ def op7(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.filter(~held))
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+OP6_SQL = r"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+runs AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS r(k) GROUP BY doc_id),
+base AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS sy,
+  n_dup_lines / greatest(n_lines, 1) AS du, word_chars / greatest(n_words, 1) AS le FROM base),
+q AS (SELECT lang, source, count(*) AS n, quantile_disc(sy, [0.25, 0.75]) AS sy, quantile_disc(du, [0.25, 0.75]) AS du, quantile_disc(le, [0.25, 0.75]) AS le
+  FROM f WHERE NOT base_failed GROUP BY lang, source),
+ql AS (SELECT lang, quantile_disc(sy, [0.25, 0.75]) AS sy, quantile_disc(du, [0.25, 0.75]) AS du, quantile_disc(le, [0.25, 0.75]) AS le
+  FROM f WHERE NOT base_failed GROUP BY lang),
+lim AS (SELECT q.lang, source, CASE WHEN n >= 30 THEN q.sy ELSE ql.sy END AS sy, CASE WHEN n >= 30 THEN q.du ELSE ql.du END AS du,
+  CASE WHEN n >= 30 THEN q.le ELSE ql.le END AS le FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(f.sy > greatest(lim.sy[2] + 3 * (lim.sy[2] - lim.sy[1]), 0.10) OR f.du > greatest(lim.du[2] + 3 * (lim.du[2] - lim.du[1]), 0.30)
+  OR f.le > greatest(lim.le[2] + 3 * (lim.le[2] - lim.le[1]), 15.0) OR f.le < least(lim.le[1] - 3 * (lim.le[2] - lim.le[1]), 2.0), false) AS kept
+FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source"""
+
+
+@query("op6_quality", OP6_SQL)
+def op6(spark, d):
+    """One row per document with its measures and the verdict."""
+    return quality.quality(table(spark, d, "documents"))
