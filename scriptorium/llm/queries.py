@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import decontaminate, language, ngram_join, packing, quality, suffix_dedup, token_blocks, toxicity
+from . import chat, decontaminate, language, ngram_join, packing, quality, suffix_dedup, token_blocks, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,65 @@ FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT
 def op6(spark, d):
     """One row per document with its measures and the verdict."""
     return quality.quality(table(spark, d, "documents"))
+
+
+#: Fixed values of the rules.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+_SQL_RULES = "(VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(h, p, v)"
+_SQL_URL = r"""CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"""
+
+
+def _sql_node(u: str) -> str:
+    bare = f"regexp_extract({u}, '^([^#]*)', 1, 's')"
+    return f"""CASE WHEN instr({bare}, '://') > 0 THEN lower(substr({bare}, 1, instr({bare}, '://') + 2)) ||
+  translate(regexp_extract({_SQL_URL.format(u=bare)}, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ||
+  regexp_extract({_SQL_URL.format(u=bare)}, '^[^/?#]*(.*)$', 1, 's') END"""
+
+
+OP5_SQL = f"""WITH RECURSIVE links AS (SELECT {_sql_node('url')} AS x, {_sql_node('v')} AS y FROM (SELECT url, replace(unnest([
+    regexp_extract(regexp_extract(html, '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*', 0, 'is') || ' ', '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'),
+    regexp_extract(regexp_extract(html, '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*', 0, 'is') || ' ', '\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is')]), '&amp;', '&') AS v FROM pages)),
+pairs AS (SELECT x, y FROM links WHERE x <> y UNION SELECT y, x FROM links WHERE x <> y),
+reach AS (SELECT x, x AS y FROM pairs UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x),
+urls AS (SELECT page_id, url AS u, {_sql_node('url')} AS n FROM pages UNION ALL SELECT NULL, y, y FROM reach),
+parts AS (SELECT *, translate(regexp_extract({_SQL_URL.format(u='u')}, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract({_SQL_URL.format(u='u')}, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM urls),
+fits AS (SELECT page_id, u, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS says FROM parts, {_SQL_RULES}
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, u),
+comp AS (SELECT reach.x AS n, bool_or(says = 'block') AND NOT coalesce(bool_or(says = 'allow'), false) AS blocked
+  FROM reach JOIN fits ON fits.page_id IS NULL AND fits.u = reach.y GROUP BY reach.x)
+SELECT parts.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(says, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON fits.page_id = parts.page_id LEFT JOIN comp ON comp.n = parts.n WHERE parts.page_id IS NOT NULL"""
+
+
+@query("op5_url_filter", OP5_SQL)
+def op5(spark, d):
+    """One row per page with host, path, rule and verdict."""
+    return url_rules.filter_urls(table(spark, d, "pages"), RULES)
+
+
+PROBE = r"\### Assistant: </turn> ok"  # fixed value: a text that looks like control strings
+
+OP8_SQL = r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(n)),
+f AS (SELECT *, replace(replace(replace(x, '\', '\\'), '<|', '<\|'), '|>', '|\>') AS y FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|turn ' || role || '|>' || y || '<|end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+
+@query("op8_chat", OP8_SQL)
+def op8(spark, d):
+    """One row per conversation, read back from its formatted text."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    parts = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.col("text")))
+    back = chat.read_back(chat.format_conversations(parts))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
