@@ -63,6 +63,8 @@ class Index:
 
     def search(self, keys: np.ndarray, row: np.ndarray):
         """``(row, item index, shared)`` of the contained items; ``keys`` sorted by row and key."""
+        if not len(keys) or not len(self.ids):
+            return
         pick = np.flatnonzero(self.table[keys >> np.uint64(64 - _BITS)])
         low = np.searchsorted(self.sketch, keys[pick], side="left")
         n = np.searchsorted(self.sketch, keys[pick], side="right") - low
@@ -93,28 +95,54 @@ def contained_items(
       ids are searched like others (documents) or left out (items).  Items that share an id count as the
       item of their joint shingles; repeated documents are reported once per row.  No items: no rows.
     """
-    sets = cut(item_sets(items, words, item_id, item_text))
-    n_blocks = -(-sets.count() // block)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
-    for i in range(max(n_blocks, 1)):
-        part = sets.filter(F.pmod(F.xxhash64("item"), F.lit(max(n_blocks, 1))) == i).toPandas()
-        part = part.drop_duplicates(["item", "element"])
-        part["n"] = part.groupby("item")["element"].transform("size")
-        part["rank"] = part.groupby("item")["rank"].rank(method="first").astype(int) - 1
-        index = Index(part["item"].to_numpy(), part["n"].to_numpy(), part["element"].to_numpy(np.int64).view(np.uint64), part["rank"].to_numpy(), num, den)
+    for index in _blocks(item_sets(items, words, item_id, item_text), num, den, block):
         hits = _search(source, docs.sparkSession.sparkContext.broadcast(index), words)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
+def _blocks(sets: DataFrame, num: int, den: int, block: int):
+    """The items' sets as indexes of about ``block`` shingles (one, maybe empty, at least)."""
+    sets = cut(sets)
+    n_blocks = max(-(-sets.count() // block), 1)
+    for i in range(n_blocks):
+        part = sets.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i).toPandas()
+        part = part.drop_duplicates(["item", "element"])
+        part["n"] = part.groupby("item")["element"].transform("size")
+        part["rank"] = part.groupby("item")["rank"].rank(method="first").astype(int) - 1
+        yield Index(part["item"].to_numpy(), part["n"].to_numpy(), part["element"].to_numpy(np.int64).view(np.uint64), part["rank"].to_numpy(), num, den)
+
+
+def uncontaminated(
+    docs: DataFrame, items: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = 1_000_000,
+    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item to ``num / den``; searched as in ``contained_items``, without a join."""
+    at = docs.columns.index(text_col)
+    for index in _blocks(item_sets(items, words, item_id, item_text), num, den, block):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def task(batches, shared=shared):
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for first, data, offsets in H.slices(b.column(at), 1 << 19):
+                    keys, row = H.shingle_sets(data, offsets, words)
+                    clean[[first + r for r, _, _ in shared.value.search(keys, row)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(task, docs.schema)
+    return docs
+
+
 def _search(source: DataFrame, index, words: int) -> DataFrame:
     def task(batches):
         at = index.value
         for b in batches:
             for first, data, offsets in H.slices(b.column(1), 1 << 19):
                 keys, row = H.shingle_sets(data, offsets, words)
-                hits = list(at.search(keys, row)) if len(keys) and len(at.ids) else []
+                hits = list(at.search(keys, row))
                 if hits:
                     r, i, shared = (np.array(c, np.int64) for c in zip(*hits))
                     ids = b.column(0).take(pa.array(first + r))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scratch import cut
 from . import hashing as H
@@ -68,11 +69,12 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger
     return row, start - offsets[row], stop - start, by_trigger, by_entry
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, key, tag, data)``; the tag keeps texts apart that share an id."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, carried, key, tag, data)``; the tag keeps texts apart that share an id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t")).select(
-        "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64("_t").bitwiseAND(F.lit(0x7FFFFF)).alias("tag"), F.col("_t").cast("binary").alias("data")
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.alias("carried"), text.alias("_t")).select(
+        "doc_id", "carried", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64("_t").bitwiseAND(F.lit(0x7FFFFF)).alias("tag"), F.col("_t").cast("binary").alias("data")
     )
 
 
@@ -177,10 +179,13 @@ def _ranked_wide(entries: DataFrame, length: int) -> DataFrame:
     return windows.join(shared, ["trigger", "hash"]).filter("not many").select("key", "at")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, wide: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, kept, spans)``: every text without the bytes of strings that start twice.
+def repeats(
+    docs: DataFrame, length: int = LENGTH, wide: int = 20_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_chars: bool = False
+) -> DataFrame:
+    """``(doc_id, carried, n_bytes, kept, spans)``: every text without the bytes of strings that start twice.
 
-    ``spans`` are the maximal removed runs ``(start, size)`` in bytes, ``kept`` the remaining bytes.
+    ``spans`` are the maximal removed runs ``(start, size)`` in bytes, ``kept`` the remaining bytes; with
+    ``whole_chars`` a character that is repeated only in part stays.  ``carried`` holds the columns ``carry``.
 
     - Counting triggers and entries combines in the tasks first, so a passage in a third of all texts
       brings a row per task.  Texts are shuffled twice: to fetch the entries that need a closer look, and
@@ -193,7 +198,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, wide: int = 20_000, id_col: s
     """
     if not 64 <= length <= 255:
         raise ValueError("length must lie between 64 and 255 bytes")
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, carry)
     parse = _parse(keyed, length)
     counts = parse.groupBy("trigger").agg(F.count(F.lit(1)).alias("_n"), F.min("entry").alias("_a"), F.max("entry").alias("_b"))
     twice = cut(counts.filter("_n > 1").select("trigger", (F.col("_a") == F.col("_b")).alias("single")))
@@ -218,11 +223,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, wide: int = 20_000, id_col: s
         part = _ranked(with_bytes(entries.join(crowded, "trigger", "left_anti")), length)
         part = part.unionByName(_ranked_wide(with_bytes(entries.join(crowded, "trigger", "left_semi")), length))
     ranges = cut(whole.unionByName(part)).groupBy("key", F.expr(_TAG).alias("tag")).agg(F.collect_list(F.expr(f"{_START} << 8 | {_WINDOWS}")).alias("_ranges"))
-    return _removed(keyed.join(ranges, ["key", "tag"], "left"), length)
-
-
-_OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start: bigint, size: bigint>>"
-_OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))])
+    return _removed(keyed.join(ranges, ["key", "tag"], "left"), length, whole_chars)
 
 
 def merged(ranges: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -236,23 +237,43 @@ def merged(ranges: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), stop[last].tolist()))
 
 
-def _removed(joined: DataFrame, length: int) -> DataFrame:
+def _whole_chars(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs shrunk to character borders."""
+    out = []
+    for a, z in runs:
+        while a < z and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < z < len(raw) and raw[z] & 0xC0 == 0x80:
+            z -= 1
+        if a < z:
+            out.append((a, z))
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+
+
+def _removed(joined: DataFrame, length: int, whole_chars: bool) -> DataFrame:
+    rows = joined.select("doc_id", "carried", "data", "_ranges")
+    schema = T.StructType(rows.schema.fields[:2]).add("n_bytes", "long").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("size", "long")))
+
     def task(batches):
         for b in batches:
-            ids, kept, sizes, spans, done = [], [], [], [], 0
-            for doc, data, ranges in zip(b.column(0), b.column(1), b.column(2)):
+            done, first, sizes, kept, spans = 0, 0, [], [], []
+            for i, (data, ranges) in enumerate(zip(b.column(2), b.column(3))):
                 raw, runs = data.as_py(), []
                 sizes.append(len(raw))
                 if ranges.is_valid and len(ranges.values):
                     runs = merged(ranges.values.to_numpy(), length)
+                    runs = _whole_chars(raw, runs) if whole_chars else runs
                     raw = b"".join(raw[a:z] for a, z in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)]))
-                ids.append(doc.as_py())
                 kept.append(raw)
                 spans.append([{"start": a, "size": z - a} for a, z in runs])
                 done += len(raw)
-                if done > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, sizes, kept, spans), _OUT_ARROW.types)], schema=_OUT_ARROW)
-                    ids, kept, sizes, spans, done = [], [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, sizes, kept, spans), _OUT_ARROW.types)], schema=_OUT_ARROW)
+                if done > 8 << 20 or i + 1 == b.num_rows:
+                    own = b.slice(first, i + 1 - first)
+                    cols = [own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, _SPANS)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "carried", "n_bytes", "kept", "spans"])
+                    done, first, sizes, kept, spans = 0, i + 1, [], [], []
 
-    return joined.select("doc_id", "data", "_ranges").mapInArrow(task, _OUT)
+    return rows.mapInArrow(task, schema)
