@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.lists import as_items
@@ -96,14 +96,13 @@ def resolve_column(df: DataFrame, aliases: tuple[str, ...] | list[str], partial:
 
 
 def detect_dialect(df: DataFrame) -> str:
-    """``openalex``, ``scopus``, ``wos`` or ``unknown`` from the column names, then five sample ids."""
+    """``openalex``, ``scopus``, ``wos`` or ``unknown`` from the column names, then the ids."""
     cols = set(df.columns)
     if cols & {"referenced_works", "ids.openalex", "openalex_id"}:
         return "openalex"
     for c in ("unique-id", "id", "DOI"):
         if c in cols:
-            ids = df.select(F.col(f"`{c}`").cast("string").alias("v")).filter("v is not null").limit(5)
-            if any("openalex.org" in r.v for r in ids.collect()):  # five rows at most
+            if not df.filter(F.col(f"`{c}`").cast("string").contains("openalex.org")).isEmpty():
                 return "openalex"
     if cols & {"EID", "Source title"}:
         return "scopus"
@@ -112,22 +111,12 @@ def detect_dialect(df: DataFrame) -> str:
     return "unknown"
 
 
-def separator_scores(df: DataFrame, cols: list[str], sample: int = 200, share: float = 0.15) -> DataFrame:
-    """One row: for each separator the number of columns where over ``share`` of a sample contains it.
-
-    The sample is the reference size of the profile (first rows with a value), not a cut of the data.
-    """
-    rows = None
-    for c in cols:
-        text = df.select(F.col(f"`{c}`").cast("string").alias("v")).filter("v is not null").limit(sample)
-        one = text.agg(
-            *[(F.avg(F.col("v").contains(s).cast("int")) > share).cast("int").alias(n)
-              for n, s in (("pipe", "|"), ("semicolon_space", "; "), ("semicolon", ";"))]
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    votes = rows.agg(
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("pipe", "semicolon_space", "semicolon")]
-    )
+def separator_scores(df: DataFrame, cols: list[str], share: float = 0.15) -> DataFrame:
+    """One row: for each separator the number of columns where over ``share`` of the values contains it (one scan)."""
+    def over(c: str, s: str) -> Column:
+        return F.coalesce((F.avg(F.col(f"`{c}`").cast("string").contains(s).cast("int")) > share).cast("long"), F.lit(0))
+
+    votes = df.agg(*[sum((over(c, s) for c in cols), F.lit(0)).cast("long").alias(n) for n, s in (("pipe", "|"), ("semicolon_space", "; "), ("semicolon", ";"))])
     chosen = (
         F.when((F.col("pipe") >= F.col("semicolon_space")) & (F.col("pipe") > 0), "|")
         .when(F.col("semicolon_space") > 0, "; ")
@@ -143,9 +132,9 @@ def detect_separator(df: DataFrame, cols: list[str]) -> str:
     return separator_scores(df, present).first()["separator"] if present else "; "
 
 
-def first_separator(df: DataFrame, col: str, sample: int = 100) -> str | None:
-    """First of ``|``, ``; ``, ``,`` that occurs anywhere in a sample of the column."""
-    text = df.select(F.col(f"`{col}`").cast("string").alias("v")).filter("v is not null").limit(sample)
+def first_separator(df: DataFrame, col: str) -> str | None:
+    """First of ``|``, ``; ``, ``,`` that occurs anywhere in the column."""
+    text = df.select(F.col(f"`{col}`").cast("string").alias("v"))
     row = text.agg(*[F.max(F.col("v").contains(s)).alias(n) for n, s in (("a", "|"), ("b", "; "), ("c", ","))])
     hit = row.first()
     return "|" if hit.a else "; " if hit.b else "," if hit.c else None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,7 +125,10 @@ def fuzzy_citation_graph(works: DataFrame, threshold: int = 80, refs: str = "ref
     t = (threshold - 0.5) / 100  # scores are rounded
     share = t / (2 - t)
     titles = works.select(F.col("doc_id").alias("cited"), normalise(F.col("title")).alias("nt")).filter("nt <> ''")
-    titles = cut(titles.groupBy("nt").agg(F.min("cited").alias("cited"), F.count(F.lit(1)).alias("copies")))
+    # of works of one title the two smallest ids: a work that bears the title itself cites the other one
+    titles = titles.withColumn("_r", F.row_number().over(Window.partitionBy("nt").orderBy("cited"))).filter("_r <= 2")
+    titles = cut(titles.select("nt", "cited"))
+    names = titles.select("nt").distinct()
     raw = works.select("doc_id", F.posexplode(as_items(works, refs)).alias("pos", "ref"))
     texts = F.array(
         F.struct(F.lit(0).alias("try"), normalise(title_guess(F.col("ref"))).alias("text")),
@@ -137,11 +140,11 @@ def fuzzy_citation_graph(works: DataFrame, threshold: int = 80, refs: str = "ref
     solved = exact.filter("try = 0").select("doc_id", "pos").distinct()
     open_tries = tries.join(solved, ["doc_id", "pos"], "left_anti")
     distinct_texts = cut(open_tries.select("text").distinct())
-    freq = titles.select(F.explode(F.array_distinct(F.split("nt", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
-    t_keys = _distinctive(titles, "nt", freq, ["nt"], share)
+    freq = names.select(F.explode(F.array_distinct(F.split("nt", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
+    t_keys = _distinctive(names, "nt", freq, ["nt"], share)
     r_all = distinct_texts.select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     r_keys = _distinctive(distinct_texts, "text", freq, ["text"], share)
-    t_all = titles.select("nt", F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
+    t_all = names.select("nt", F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
     pairs = r_all.join(t_keys, "word").select("text", "nt").union(r_keys.join(t_all, "word").select("text", "nt")).distinct()
     scored = pairs.withColumn("score", score_pairs("text", "nt")).filter(F.col("score") >= threshold)
     near = open_tries.join(scored, "text").join(titles, "nt").filter("cited <> doc_id").select("doc_id", "pos", "try", "cited", F.lit(0).alias("exact"), "score")
@@ -209,6 +212,8 @@ def strong_components(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
         drop = part.select("node")
         left = cut(left.join(drop.withColumnRenamed("node", "citing"), "citing", "left_anti").join(drop.withColumnRenamed("node", "cited"), "cited", "left_anti"))
         size = left.count()
+    else:
+        raise RuntimeError(f"cycles are left after {max_rounds} rounds")
     if found is None:
         kind = links.schema["citing"].dataType.simpleString()
         return links.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
@@ -228,23 +233,33 @@ def condense(links: DataFrame) -> DataFrame:
     return out.filter("citing <> cited").dropDuplicates()
 
 
+_COUNT = "decimal(38, 0)"
+
+
+def _whole(value: Column) -> Column:
+    """A count of 38 digits at most; more raise an error instead of losing digits."""
+    return F.when(value.isNull(), F.raise_error("a path count has more than 38 digits").cast(_COUNT)).otherwise(value.cast(_COUNT))
+
+
 def _relax(nodes: DataFrame, links: DataFrame, src: str, dst: str, every: int = 3, max_rounds: int = 10_000) -> DataFrame:
     """``(node, paths)``: number of paths from nodes without predecessors, by repeated propagation.
 
     ``nodes`` is ``(node, start)``; the values are final after as many rounds as the longest path has links.
+    Counts are whole numbers of up to 38 digits; Spark raises beyond that.
     """
-    state = cut(nodes.select("node", F.col("start").cast("double").alias("paths")))
+    nodes = nodes.select("node", F.col("start").cast(_COUNT).alias("start"))
+    state = cut(nodes.withColumnRenamed("start", "paths"))
     for _ in range(0, max_rounds, every):
         new = state
         for _ in range(every):
             got = links.join(new, links[src] == new["node"]).groupBy(F.col(dst).alias("node")).agg(F.sum("paths").alias("_p"))
-            new = nodes.join(got, "node", "left").select("node", (F.col("start") + F.coalesce("_p", F.lit(0.0))).alias("paths"))
+            new = nodes.join(got, "node", "left").select("node", _whole(F.col("start") + F.coalesce("_p", F.lit(0))).alias("paths"))
         new = cut(new.join(state.withColumnRenamed("paths", "_old"), "node"))
         moved = new.filter("paths <> _old").limit(1).count()
         state = new.drop("_old")
         if not moved:
-            break
-    return state
+            return state
+    raise RuntimeError(f"path counts are not settled after {max_rounds} rounds")
 
 
 def path_weights(links: DataFrame, method: str = "SPC") -> DataFrame:
@@ -253,6 +268,11 @@ def path_weights(links: DataFrame, method: str = "SPC") -> DataFrame:
     SPC is paths from the sources to the link times paths from it to the sinks; SPLC divides by the
     number of all source-sink paths, SPNP by sources times sinks.
     """
+    return _path_counts(links, method).select("citing", "cited", "weight")
+
+
+def _path_counts(links: DataFrame, method: str) -> DataFrame:
+    """``(citing, cited, weight, paths)``: ``paths`` is the exact number of paths over the link."""
     e = cut(links.select("citing", "cited"))
     ends = e.select(F.explode(F.array(F.struct(F.col("citing").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("cited").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
     nodes = cut(ends.groupBy(F.col("x.n").alias("node")).agg(
@@ -263,53 +283,60 @@ def path_weights(links: DataFrame, method: str = "SPC") -> DataFrame:
     w = e.join(fwd.select(F.col("node").alias("citing"), F.col("paths").alias("_f")), "citing").join(
         bwd.select(F.col("node").alias("cited"), F.col("paths").alias("_b")), "cited"
     )
-    spc = F.col("_f") * F.col("_b")
+    w = w.withColumn("paths", _whole(F.col("_f") * F.col("_b")))
+    spc = F.col("paths").cast("double")
     if method == "SPC":
-        return w.select("citing", "cited", spc.alias("weight"))
+        return w.select("citing", "cited", spc.alias("weight"), "paths")
     if method == "SPLC":
-        base = nodes.filter("is_sink = 1").join(fwd, "node").agg(F.sum("paths")).scalar()
+        base = nodes.filter("is_sink = 1").join(fwd, "node").agg(F.sum("paths").cast("double")).scalar()
     else:
         base = nodes.agg((F.sum("is_source") * F.sum("is_sink")).cast("double")).scalar()
-    return w.withColumn("_d", base).select("citing", "cited", F.when(F.col("_d") > 0, spc / F.col("_d")).otherwise(0.0).alias("weight"))
+    return w.withColumn("_d", base).select("citing", "cited", F.when(F.col("_d") > 0, spc / F.col("_d")).otherwise(0.0).alias("weight"), "paths")
 
 
 def main_path(links: DataFrame, method: str = "SPC", max_rounds: int = 10_000, every: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(edges, path)``: link weights with a main-path flag, and ``(position, node)`` of the heaviest source-sink path.
 
-    Cycles are condensed first.  Ties go to the smaller id.
+    Cycles are condensed first.  Ties go to the smaller id.  Paths are compared by their exact counts (the
+    methods differ by a factor that is the same for all links); the way back doubles its length per round.
     """
-    weights = cut(path_weights(condense(links), method))
+    weights = cut(_path_counts(condense(links), method))
     cited = weights.select(F.col("cited").alias("node")).distinct()
     names = cut(weights.select(F.explode(F.array("citing", "cited")).alias("node")).distinct())
     sources = names.join(cited, "node", "left_anti")
     kind = weights.schema["citing"].dataType.simpleString()
-    start = cut(sources.select("node", F.lit(0.0).alias("best"), F.lit(None).cast(kind).alias("prev")))
+    start = cut(sources.select("node", F.lit(0).cast(_COUNT).alias("best"), F.lit(None).cast(kind).alias("prev")))
     state = start
     for _ in range(0, max_rounds, every):
         new = state
         for _ in range(every):
             step = weights.join(new, weights["citing"] == new["node"]).groupBy(F.col("cited").alias("node")).agg(
-                F.min(F.struct((-(F.col("best") + F.col("weight"))).alias("n"), F.col("citing").alias("p"))).alias("b")
-            ).select("node", (-F.col("b.n")).alias("best"), F.col("b.p").alias("prev"))
+                F.min(F.struct((-_whole(F.col("best") + F.col("paths"))).alias("n"), F.col("citing").alias("p"))).alias("b")
+            ).select("node", (-F.col("b.n")).cast(_COUNT).alias("best"), F.col("b.p").alias("prev"))
             new = start.unionByName(step)
         new = cut(new)
         moved = new.join(state.select("node", F.col("best").alias("_o")), "node", "left").filter("_o is null or best <> _o").limit(1).count()
         state = new
         if not moved:
             break
+    else:
+        raise RuntimeError(f"the main path is not settled after {max_rounds} rounds")
     sinks = names.join(weights.select(F.col("citing").alias("node")).distinct(), "node", "left_anti")
     last = state.join(sinks, "node", "left_semi").orderBy(F.desc("best"), "node").limit(1)
-    path = cut(last.select("node", "prev", F.lit(0).alias("back")))
-    depth = 0
-    while True:  # as many steps as the path has links, one row each
-        nxt = cut(path.filter(F.col("back") == depth).select(F.col("prev").alias("node")).join(state, "node").select("node", "prev", F.lit(depth + 1).alias("back")))
-        if not nxt.take(1):
+    path = cut(last.select("node", F.lit(0).alias("back")))
+    jump, length = cut(state.filter("prev is not null").select("node", "prev")), 1  # ``length`` links back
+    while True:
+        more = cut(path.join(jump, "node").select(F.col("prev").alias("node"), (F.col("back") + length).alias("back")))
+        if not more.take(1):
             break
-        path, depth = path.unionByName(nxt), depth + 1
-    path = cut(path)
+        path = cut(path.unionByName(more))
+        jump = cut(jump.join(jump.toDF("prev", "_far"), "prev").select("node", F.col("_far").alias("prev")))
+        length *= 2
+    path = cut(path.join(state.select("node", "prev"), "node"))
+    depth = F.max("back").over(Window.partitionBy())  # the rows of one path
     flags = path.filter("prev is not null").select(F.col("prev").alias("citing"), F.col("node").alias("cited"), F.lit(1).alias("_m"))
     edges = weights.join(flags, ["citing", "cited"], "left").select("citing", "cited", "weight", F.coalesce("_m", F.lit(0)).alias("main_path"))
-    return edges, path.select((F.lit(depth) - F.col("back")).alias("position"), "node")
+    return edges, path.select((depth - F.col("back")).alias("position"), "node")
 
 
 # --- disruption -----------------------------------------------------------------------------------------------

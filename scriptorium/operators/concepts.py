@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import ENGLISH_WORD, array_value, keep_only, ngrams, tokens
 from ..functions.ordering import top
+from ..functions.patterns import valid_pattern
 
 # The 17 goals grouped by dimension and by perspective.
 DIMENSIONS = {
@@ -42,10 +43,9 @@ def concept_condition(text: Column, keywords: list[str], regex: bool = False, wi
         if not kw:
             continue
         if regex:
-            try:
-                re.compile(kw)
+            if valid_pattern(kw):
                 parts.append(f"(?:{kw})")
-            except re.error:
+            else:
                 literal.append(kw)
         else:
             parts.append(keyword_pattern(kw, wildcard))

@@ -49,18 +49,18 @@ def cooccurrence(
 
 def group_table(
     works: DataFrame, col: str, kind: str = "list", min_freq: int = 1, top_n: int = 50,
-    include: str | None = None, exclude: str | None = None,
+    include: str | None = None, exclude: str | None = None, max_features: int | None = None,
 ) -> DataFrame:
     """``(row, col, n)`` of entities against groups: total at least ``min_freq``, top ``top_n`` rows.
 
-    For ``text`` the rows are the 2,000 commonest words and word pairs, counted once per document.
+    For ``text`` the rows are words and word pairs, counted once per document (the ``max_features`` commonest, if given).
     The patterns (``;``-separated) apply to the rows that are left.
     """
     long = grouped_entities(works, col, kind)
     cells = long.groupBy(F.col("entity").alias("row"), F.col("group").alias("col")).agg(F.count(F.lit(1)).alias("n"))
     totals = cells.groupBy("row").agg(F.sum("n").alias("t"))
-    if kind == "text":
-        totals = top(totals, 2000, F.desc("t"), F.asc("row"))
+    if kind == "text" and max_features:
+        totals = top(totals, max_features, F.desc("t"), F.asc("row"))
     best = top(totals.filter(F.col("t") >= min_freq), top_n, F.desc("t"), F.asc("row"))
     out = cells.join(best, "row", "left_semi")
     if include:

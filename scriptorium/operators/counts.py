@@ -31,7 +31,7 @@ def count_ngrams(
     n_min: int = 1,
     n_max: int = 1,
     stop_words: list[str] | None = None,
-    max_features: int | None = 10_000,
+    max_features: int | None = None,
     per_document: bool = False,
 ) -> DataFrame:
     """``(entity, docs)`` of word n-grams; stop words go before the n-grams are formed."""
@@ -44,16 +44,16 @@ def count_ngrams(
     return top(counts, max_features, F.desc("docs"), F.asc("entity")) if max_features else counts
 
 
-def auto_count_type(df: DataFrame, col: str, sample: int = 100) -> str:
-    """``list`` when a separator occurs in a small sample, ``text`` when values are long, else ``single``."""
+def auto_count_type(df: DataFrame, col: str) -> str:
+    """``list`` when a separator occurs, ``text`` when values are long, else ``single``."""
     if df.schema[col].dataType.typeName() == "array":
         return "list"
-    return count_type_profile(df, col, sample).first()["count_type"]
+    return count_type_profile(df, col).first()["count_type"]
 
 
-def count_type_profile(df: DataFrame, col: str, sample: int = 100) -> DataFrame:
-    """One row: ``has_separator``, ``mean_length``, ``count_type`` of the first values."""
-    v = df.select(F.col(col).cast("string").alias("v")).filter("v is not null").limit(sample)
+def count_type_profile(df: DataFrame, col: str) -> DataFrame:
+    """One row: ``has_separator``, ``mean_length``, ``count_type`` of the column."""
+    v = df.select(F.col(col).cast("string").alias("v")).filter("v is not null")
     row = v.agg(
         F.coalesce(F.bool_or(F.col("v").contains("|") | F.col("v").contains("; ")), F.lit(False)).alias("has_separator"),
         F.avg(F.length("v")).alias("mean_length"),

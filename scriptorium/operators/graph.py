@@ -152,11 +152,11 @@ def _iterate(links: DataFrame, start: DataFrame, value: str, base: float, tol: f
         gap = new.join(state.withColumnRenamed(value, "_o"), "node").agg(F.max(F.abs(F.col(value) - F.col("_o")))).first()[0] or 0.0
         state = new
         if gap < tol:
-            break
-    return state
+            return state
+    raise RuntimeError(f"no standstill after {max_rounds} rounds (last change {gap:.3g}, wanted {tol:.3g}); raise max_rounds or tol")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-9, max_rounds: int = 100) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-9, max_rounds: int = 300) -> DataFrame:
     """``(node, pagerank)``, weighted; the rank of nodes without edges is spread evenly."""
     names = cut(nodes.select("node").distinct())
     n = names.count()
@@ -171,7 +171,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: flo
     return _iterate(links, names.withColumn("pagerank", F.lit(1.0 / max(n, 1))), "pagerank", base, tol, max_rounds)
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
+def eigenvector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-9, max_rounds: int = 2000) -> DataFrame:
     """``(node, eigenvector)``: principal eigenvector of the weighted table, length one.
 
     A small multiple of the identity is added, which keeps two-sided graphs from swinging.
@@ -202,8 +202,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         moved = state.filter("_old <> component").limit(1).count()
         state = state.drop("_old")
         if not moved:
-            break
-    return state
+            return state
+    raise RuntimeError(f"components are not settled after {max_rounds} rounds")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return deg.withColumn("_m", m).agg((inside / F.max("_m") - F.sum(F.pow(F.col("d") / (2 * F.col("_m")), 2))).alias("modularity"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 12, max_levels: int = 4) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, max_levels: int = 50) -> DataFrame:
     """``(node, community)`` by repeated local moving and merging (Louvain), repeatable.
 
     All nodes choose at once, half of them (by a hash that changes every round) may move, ties go to
@@ -343,6 +343,8 @@ def communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 12, max_le
             a = member.select(F.col("node").alias("src"), F.col("c").alias("_a"))
             b = member.select(F.col("node").alias("dst"), F.col("c").alias("_b"))
             level = cut(level.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        else:
+            raise RuntimeError(f"communities still merge after {max_levels} levels")
     sizes = final.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
     from ..functions.ordering import prefix_sums
 
@@ -385,6 +387,8 @@ def _local_moving(edges: DataFrame, two_m: float, max_rounds: int) -> tuple[Data
         if not row["w"] or (i >= 3 and q <= last[-3] + 1e-9):
             break
         state = new.select("node", "c", "k", "loop")
+    else:
+        raise RuntimeError(f"communities still move after {max_rounds} rounds")
     moved = best.filter("node <> c").limit(1).count() > 0
     return best.select("node", "c"), moved
 
@@ -406,6 +410,7 @@ def node_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # --- thematic map --------------------------------------------------------------------------------------
 
+# The names of the quadrants.
 QUADRANTS = ("Motor Themes", "Niche Themes", "Basic Themes", "Emerging/Declining")
 
 

@@ -116,6 +116,9 @@ def groups_by_terms(works: DataFrame, text: str, terms: dict[str, list[str]]) ->
     """A group per entry: any term anywhere in the text, ``*`` for anything, case ignored."""
     flags = []
     for name, words in terms.items():
+        words = [w for w in words if w.strip()]
+        if not words:  # nothing to look for: nobody is in the group
+            continue
         pattern = "|".join(".*".join(re.escape(part) for part in w.split("*")) for w in words)
         flags.append(F.when(F.col(text).rlike("(?iu)" + pattern), F.lit(name)))
     return works.withColumn("groups", F.array_compact(F.array(*flags)))
@@ -260,7 +263,8 @@ def union_of_tops(counts: DataFrame, n: int = 10) -> DataFrame:
 
 
 def group_statistics(
-    works: DataFrame, col: str, kind: str = "list", top_n: int = 50, include: list[str] | None = None, exclude: list[str] | None = None
+    works: DataFrame, col: str, kind: str = "list", top_n: int = 50, include: list[str] | None = None, exclude: list[str] | None = None,
+    max_features: int | None = None,
 ) -> DataFrame:
     """For the top items overall, per group: docs, fraction, percentage, rank (ties lowest), percent_rank.
 
@@ -270,7 +274,7 @@ def group_statistics(
     from .counts import count_list, count_ngrams, count_single
 
     count = {"single": count_single, "list": count_list}
-    total = count_ngrams(works, col, 1, 2, [], 5000, per_document=True) if kind == "text" else count[kind](works, col)
+    total = count_ngrams(works, col, 1, 2, [], max_features, per_document=True) if kind == "text" else count[kind](works, col)
     if include:
         total = total.filter(F.col("entity").isin(*include))
     if exclude:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import explode_entities
 from ..functions.ordering import top
+from ..functions.patterns import valid_pattern
 
 
 def include_items(long: DataFrame, items: list[str] | DataFrame, col: str = "entity", fold: bool = False) -> DataFrame:
@@ -34,9 +33,7 @@ def _by_list(long: DataFrame, items, col: str, fold: bool, how: str) -> DataFram
 def pattern_matches(col: str | Column, pattern: str, literal_fallback: bool = True) -> Column:
     """Case-insensitive search; an invalid pattern is taken literally (or matches everything)."""
     c = F.col(col) if isinstance(col, str) else col
-    try:
-        re.compile(pattern)
-    except re.error:
+    if not valid_pattern(pattern):
         return F.lower(c).contains(pattern.lower()) if literal_fallback else F.lit(True)
     return c.rlike("(?iu)" + pattern)
 
@@ -57,11 +54,8 @@ def filter_by_pattern(
     if include:
         long = long.filter(pattern_matches(col, include, literal_fallback=False))
     if exclude:
-        try:
-            re.compile(exclude)
+        if valid_pattern(exclude):
             long = long.filter(~pattern_matches(col, exclude))
-        except re.error:
-            pass
     return long
 
 

@@ -12,7 +12,7 @@ from .q_groups import GOAL_FLAGS, GOALS
 from .registry import query, rounded
 
 OBS = "o AS (SELECT entity AS category, count(*) AS n FROM long JOIN works USING (doc_id) WHERE year BETWEEN 1996 AND 2000 GROUP BY entity)"
-REF = "r AS (SELECT n_name AS category, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey <> 3 GROUP BY n_name)"
+REF = "r AS (SELECT n_name AS category, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name)"
 REP = """p AS (SELECT category, o.n AS observed, o.n / (SELECT sum(n) FROM o) * 100 AS observed_pct, r.n AS reference, r.n / (SELECT sum(n) FROM r) * 100 AS reference_pct FROM o JOIN r USING (category)),
 q AS (SELECT *, observed_pct - reference_pct AS difference FROM p),
 s AS (SELECT category, observed, round(observed_pct, 6) AS observed_pct, reference, round(reference_pct, 6) AS reference_pct, round(difference, 6) AS difference,
@@ -21,7 +21,7 @@ COMPARE = with_sql(WORKS, long_sql("countries"), OBS, REF, REP)
 
 
 def reference(spark, d):
-    n = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("n_nationkey <> 3")
+    n = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return n.groupBy(F.col("n_name").alias("category")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -118,7 +118,7 @@ def _(spark, d):
 # counts of events per user and kind stand in for the attention counts of a work
 KINDS = {"twitter_count": "click", "news_count": "purchase", "blog_count": "signup", "mendeley_count": "view", "policy_count": "error"}
 COUNTED = "a AS (SELECT user_id AS doc_id, CAST(min(year(ts)) AS INTEGER) + CAST(user_id % 3 AS INTEGER) AS year, " + ", ".join(
-    f"count(*) FILTER (event_type = '{v}' AND value > 12) AS {k}" for k, v in KINDS.items()
+    f"count(*) FILTER (event_type = '{v}') AS {k}" for k, v in KINDS.items()
 ) + " FROM events GROUP BY user_id)"
 SCORE = "z AS (SELECT *, round(CAST(" + " + ".join(f"{k} * {A.WEIGHTS[k]}" for k in KINDS) + " AS DOUBLE), 2) AS attention_score FROM a)"
 SCORED = "WITH " + COUNTED + ", " + SCORE + ", s AS (SELECT *, CAST(attention_score > 0 AS INTEGER) AS has_attention FROM z) "
@@ -127,7 +127,7 @@ SCORED = "WITH " + COUNTED + ", " + SCORE + ", s AS (SELECT *, CAST(attention_sc
 def scored(spark, d):
     e = table(spark, d, "events")
     per = e.groupBy(F.col("user_id").alias("doc_id")).agg(
-        F.min(F.year("ts")).alias("year"), *[F.count_if((F.col("event_type") == v) & (F.col("value") > 12)).alias(k) for k, v in KINDS.items()]
+        F.min(F.year("ts")).alias("year"), *[F.count_if(F.col("event_type") == v).alias(k) for k, v in KINDS.items()]
     )
     return A.attention_score(per.withColumn("year", F.col("year") + (F.col("doc_id") % 3).cast("int")))
 

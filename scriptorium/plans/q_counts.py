@@ -61,7 +61,7 @@ def _(spark, d):
     SELECT entity, count(*) AS docs FROM g GROUP BY entity ORDER BY docs DESC, entity LIMIT 10000""",
 )
 def _(spark, d):
-    return C.count_ngrams(documents(spark, d), "text", 1, 2, stop_words=STOP)
+    return C.count_ngrams(documents(spark, d), "text", 1, 2, stop_words=STOP, max_features=10_000)
 
 
 @query(

@@ -125,11 +125,13 @@ def _(spark, d):
 
 @query(
     "A4_separator_scores",
-    "SELECT CAST(2 AS BIGINT) AS pipe, CAST(1 AS BIGINT) AS semicolon_space, CAST(1 AS BIGINT) AS semicolon, '|' AS separator",
+    with_sql(WORKS, long_sql("authors", "la"), long_sql("countries", "lc"), long_sql("author_keywords", "lk"), """n AS (SELECT avg((a > 1)::INT) > 0.15 AS a, avg((c > 1)::INT) > 0.15 AS c, avg((k > 1)::INT) > 0.15 AS k FROM (SELECT doc_id,
+      (SELECT count(*) FROM la WHERE la.doc_id = w.doc_id) AS a, (SELECT count(*) FROM lc WHERE lc.doc_id = w.doc_id) AS c, (SELECT count(*) FROM lk WHERE lk.doc_id = w.doc_id) AS k FROM works w))""")
+    + "SELECT a::BIGINT + c::BIGINT AS pipe, k::BIGINT AS semicolon_space, k::BIGINT AS semicolon, CASE WHEN a::INT + c::INT >= k::INT AND (a OR c) THEN '|' ELSE '; ' END AS separator FROM n",
 )
 def _(spark, d):
     """Two columns with pipes, one with semicolons."""
-    w = works(spark, d, "authors", "author_keywords", "countries").filter(F.size("authors") > 1)
+    w = works(spark, d, "authors", "author_keywords", "countries")
     w = w.select(F.array_join("authors", "|").alias("a"), F.array_join("countries", "|").alias("c"), F.array_join("author_keywords", "; ").alias("k"))
     return M.separator_scores(w, ["a", "c", "k"])
 
@@ -141,21 +143,15 @@ def _(spark, d):
     return c.select(F.col("c_custkey").alias("k"), to_number(text, 0).alias("v"))
 
 
-@query("A7_dialects", "SELECT * FROM (VALUES ('export', 'scopus'), ('plain', 'unknown'), ('snapshot', 'openalex')) v(name, dialect)")
-def _(spark, d):
-    found = {"export": M.detect_dialect(export(spark, d)), "plain": M.detect_dialect(scalars(spark, d)), "snapshot": M.detect_dialect(records(spark, d))}
-    return spark.createDataFrame(sorted(found.items()), "name string, dialect string")
-
-
 @query(
     "A8_countries_from_affiliations",
-    with_sql(WORKS, long_sql("authors")) + """, e AS (SELECT doc_id, CASE CAST(right(entity, 1) AS INTEGER) WHEN 0 THEN 'Germany' WHEN 1 THEN 'UK' WHEN 2 THEN 'France' END AS c FROM long)
+    with_sql(WORKS, long_sql("authors")) + """, e AS (SELECT doc_id, CASE CAST(right(entity, 1) AS INTEGER) WHEN 0 THEN 'Germany' WHEN 1 THEN 'UK' WHEN 2 THEN 'France' END AS c FROM works LEFT JOIN long USING (doc_id))
     SELECT doc_id, coalesce(string_agg(DISTINCT c, '|' ORDER BY c), '') AS countries FROM e GROUP BY doc_id""",
 )
 def _(spark, d):
     last = lambda a: F.right(a, F.lit(1))
     place = lambda a: F.when(last(a) == "0", ", Berlin, DE").when(last(a) == "1", ", London, UK.").when(last(a) == "2", ", Lyon, France").otherwise(", Nowhere, Atlantis")
-    w = works(spark, d, "authors").filter(F.size("authors") > 0)
+    w = works(spark, d, "authors")
     text = F.array_join(F.transform("authors", lambda a: F.concat(a, place(a))), "; ")
     got = snapshot.countries_from_affiliations(w.withColumn("affiliations", text))
     return got.select("doc_id", F.array_join("countries", "|").alias("countries"))

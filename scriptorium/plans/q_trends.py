@@ -9,9 +9,6 @@ from ..operators import trends as E
 from .fixtures import WORKS, counts_sql, long_sql, scalars, with_sql, works
 from .registry import query, rounded
 
-# years 1995-2001 with 1997 removed, so that the gap is filled
-GAP = "s AS (SELECT doc_id, year, cited_by FROM works WHERE year <> 1997)"
-
 
 def series_sql(src: str = "works") -> str:
     return f"""y AS (SELECT CAST(y AS INTEGER) AS year, count(doc_id) AS docs, CAST(coalesce(sum(cited_by), 0) AS BIGINT) AS citations
@@ -25,10 +22,10 @@ CHANGE = "round((docs - lag(docs) OVER (ORDER BY year)) / nullif(lag(docs) OVER
 
 @query(
     "E1_yearly_production",
-    with_sql(WORKS, GAP, series_sql("s")) + f"SELECT year, docs, citations, {SHARES.format(o='year')}, {CHANGE} AS docs_change_pct, {CHANGE.replace('docs', 'citations')} AS citations_change_pct FROM y",
+    with_sql(WORKS, series_sql()) + f"SELECT year, docs, citations, {SHARES.format(o='year')}, {CHANGE} AS docs_change_pct, {CHANGE.replace('docs', 'citations')} AS citations_change_pct FROM y",
 )
 def _(spark, d):
-    return rounded(E.yearly_production(scalars(spark, d).filter("year <> 1997")))
+    return rounded(E.yearly_production(scalars(spark, d)))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ COUNTRY_NAMES = {
 # Further spellings accepted as they are.
 COUNTRY_SPELLINGS = ("USA", "UK", "England", "Scotland", "Wales", "Peru", "Venezuela")
 
+ISSN = re.compile(r"(\d{4})-?(\d{3}[\dXx])")
+
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines snapshot with an explicit schema (no inference pass over the data)."""
@@ -154,8 +158,9 @@ def select_works(
                 lambda a: F.exists(a["institutions"], lambda i: F.lower(i["display_name"]).contains(part)),
             )
         )
-    if journal and journal.replace("-", "").isdigit():
-        out = out.filter(F.col("primary_location.source.issn_l") == journal)
+    issn = ISSN.fullmatch(journal.strip()) if journal else None
+    if issn:
+        out = out.filter(F.upper(F.replace("primary_location.source.issn_l", F.lit("-"), F.lit(""))) == "".join(issn.groups()).upper())
     elif journal:
         out = out.filter(F.lower("primary_location.source.display_name").contains(journal.lower()))
     if isinstance(dois, list):
