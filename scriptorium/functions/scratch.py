@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +14,7 @@ _KEY = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where none is named (tests)."""
+    """The shared folder of the session; a local one, removed at the end, only on a local master that names none."""
     sc = spark.sparkContext
     named = spark.conf.get(_KEY, None) or sc.getConf().get(_KEY)
     if named:
@@ -19,7 +22,10 @@ def scratch_root(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return local
 
