@@ -27,25 +27,29 @@ _FLOOR = 0.4  # likeness below which a word tells nothing
 _SPAN = 24  # letters of a piece of a very long word
 _WORDS = 500_000  # words kept per worker
 _LETTERS = re.compile(r"[\W\d_]+")
-_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 
 
-def _codes(word: str) -> np.ndarray:
-    """Six-bit letters behind a mark for the start of the word."""
-    raw = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    return np.concatenate(([0], np.where((raw >= 97) & (raw <= 122), raw - 96, 27 + raw % 37))).astype(np.int64)
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Six-bit letters of all words, each behind a zero for its start, and the word of every place."""
+    raw = np.frombuffer("".join(f"\0{w}" for w in words).encode("utf-32-le"), np.uint32).astype(np.int32)
+    flat = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw == 0, 0, 27 + raw % 37))
+    return flat, np.cumsum(raw == 0) - 1
+
+
+def _at_steps(flat: np.ndarray):
+    """``(span, triples, weight)`` for every pair of distances; the triple of place ``p`` starts there."""
+    for a, b in _STEPS:
+        n = max(len(flat) - a - b, 0)
+        yield a + b, flat[:n] << 12 | flat[a : a + n] << 6 | flat[a + b : a + b + n], DECAY ** (a + b - 2)
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(word, triple, weight)`` of all gapped triples."""
-    parts = [_codes(w) for w in words]
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    flat, owner = _codes(words)
     out = []
-    for a, b in _STEPS:
-        n = max(len(flat) - a - b, 0)
-        inside = owner[:n] == owner[a + b : a + b + n]
-        out.append((owner[:n][inside], (flat[:n] << 12 | flat[a : a + n] << 6 | flat[a + b : a + b + n])[inside], np.full(int(inside.sum()), DECAY ** (a + b - 2))))
+    for span, triple, weight in _at_steps(flat):
+        inside = owner[: len(triple)] == owner[span : span + len(triple)]
+        out.append((owner[: len(triple)][inside], triple[inside].astype(np.int64), np.full(int(inside.sum()), weight)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -69,6 +73,30 @@ class Landmarks:
         self.row[known] = np.arange(1, len(known) + 1)
         self.table = np.zeros((len(known) + 1, len(self.words)), np.float32)
         self.table[column + 1, owner] = weight / np.maximum(norm[owner], 1e-12)
+        self.most = self.table.max(axis=1)  # of a triple, over the landmarks
+
+    def near(self, words: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, likeness)`` of the words that reach the floor with a landmark.
+
+        Most words do not: their triples are looked up without being summed, against a norm that leaves
+        out what equal triples add, and only those that could still reach the floor are measured.
+        """
+        flat, owner = _codes(words)
+        length = np.bincount(owner, minlength=len(words))
+        least, best = np.zeros(len(words)), np.zeros(len(words))
+        for span, triple, weight in _at_steps(flat):
+            least += np.maximum(length - span, 0) * weight**2
+            row = self.row[triple]
+            at = np.flatnonzero(row)
+            at = at[owner[at] == owner[at + span]]
+            best += np.bincount(owner[at], weights=weight * self.most[row[at]], minlength=len(words))
+        least = np.sqrt(least)
+        maybe = np.flatnonzero(best >= floor * least * 0.999)
+        maybe = maybe[best[maybe] > 0]
+        like = self.likeness([words[i] for i in maybe]) if len(maybe) else np.zeros((0, len(self.words)), np.float32)
+        like[like < floor] = 0
+        some = like.any(axis=1)
+        return maybe[some], like[some]
 
     def likeness(self, words: list[str]) -> np.ndarray:
         """Normalised kernel of words with the landmarks."""
@@ -98,57 +126,64 @@ class Reader:
             part = new[at : at + 20_000]
             units, owner = [], []
             for i, w in enumerate(part):
-                letters = _LETTERS.sub("", w)
+                letters = w if w.isalpha() else _LETTERS.sub("", w)
                 for p in range(0, max(len(letters), 1), _SPAN // 2):
                     units.append(letters[p : p + _SPAN])
                     owner.append(i)
                     if p + _SPAN >= len(letters):
                         break
-            like = self.landmarks.likeness(units)
-            like[like < _FLOOR] = 0
             self.known.update(dict.fromkeys(part))
-            for u in np.flatnonzero(like.any(axis=1)):
+            for u, like in zip(*self.landmarks.near(units, _FLOOR)):
                 w = part[owner[u]]
                 old = self.known[w]
-                self.known[w] = like[u] if old is None else np.maximum(old, like[u])
-
-    def sentences(self, text: str) -> list[np.ndarray]:
-        """Vectors of the sentences with a word that resembles a landmark."""
-        low = text.lower()
-        words = low.split()
-        spaced = any(len(w) == 1 for w in words) and _spaced(words)
-        if not spaced and all(v is None for v in map(self.known.__getitem__, words)):
-            return []
+                self.known[w] = like if old is None else np.maximum(old, like)
+
+    def sentences(self, low: str, telling: set[str]) -> list[np.ndarray]:
+        """Vectors of the sentences of a lower-cased text that hold a telling word.
+
+        A sentence ends with its line or behind a word that ends in a stop.
+        """
         out = []
-        for s in _SENTENCE.split(low):
-            own = s.split()
-            own += _spaced(own)
-            self.learn({w for w in own if w not in self.known})
-            hits = [v for v in map(self.known.__getitem__, own) if v is not None]
+        for line in low.split("\n"):
+            words = line.split()
+            words += _spaced(words)
+            if telling.isdisjoint(words):
+                continue
+            hits = []
+            for w in words:
+                if w in telling:
+                    hits.append(self.known[w])
+                if w[-1] in ".!?" and hits:
+                    out.append(np.maximum.reduce(hits))
+                    hits = []
             if hits:
                 out.append(np.maximum.reduce(hits))
         return out
 
     def read(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """The sentences of every text; most texts end at a look at their words."""
         if len(self.known) > _WORDS:
             self.known.clear()
-        words: set[str] = set()
-        for t in texts:
-            words.update(t.lower().split())
-        self.learn(words.difference(self.known))
-        return [self.sentences(t) for t in texts]
+        lows = [t.lower() for t in texts]
+        words = [low.split() for low in lows]
+        for w, low in zip(words, lows):
+            w += [x for line in low.split("\n") for x in _spaced(line.split())] if _spaced(w) else []
+        self.learn(set().union(*words).difference(self.known))
+        telling = {w for w in set().union(*words) if self.known[w] is not None}
+        return [self.sentences(low, telling) if not telling.isdisjoint(w) else [] for low, w in zip(lows, words)]
 
 
 def _spaced(words: list[str]) -> list[str]:
-    """Words written letter by letter."""
-    out, run = [], []
-    for w in [*words, ""]:
-        if len(w) == 1 and w.isalpha():
-            run.append(w)
-        else:
-            if len(run) > 2:
-                out.append("".join(run))
-            run = []
+    """Words written letter by letter: runs of three single letters or more."""
+    ones = [i for i, w in enumerate(words) if len(w) == 1]
+    out, at = [], 0
+    while at + 2 < len(ones):
+        stop = at
+        while stop + 1 < len(ones) and ones[stop + 1] == ones[stop] + 1:
+            stop += 1
+        if stop - at > 1:
+            out.append("".join(words[ones[at] : ones[stop] + 1]))
+        at = stop + 1
     return out
 
 
@@ -268,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, landmarks: in
     return model
 
 
-_readers: dict[int, Reader] = {}
+_readers: dict[tuple[str, ...], Reader] = {}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,10 +318,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def task(batches):
         m = shared.value
-        if id(m) not in _readers:  # one reader per worker and model
+        key = tuple(m.landmarks)
+        if key not in _readers:  # one reader per worker, for as long as the landmarks stay
             _readers.clear()
-            _readers[id(m)] = Reader(Landmarks(m.landmarks))
-        reader = _readers[id(m)]
+            _readers[key] = Reader(Landmarks(m.landmarks))
+        reader = _readers[key]
         for b in batches:
             out = [m.scores(reader.read(texts)) for _, texts in tokens.text_slices(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, "score"])
