@@ -82,6 +82,49 @@ def _(spark, d):
     return N.cooccurrence_network(w, "abstract_ngrams", 60)[1]
 
 
+def pairs_sql(long: str, k: int) -> str:
+    """Links among the ``k`` commonest of ``long (doc_id, entity)``."""
+    return f"""SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM {long} a JOIN {long} b ON a.doc_id = b.doc_id AND a.entity < b.entity
+    WHERE a.entity IN (FROM top_n) AND b.entity IN (FROM top_n) GROUP BY ALL""".replace(
+        "FROM top_n", f"SELECT entity FROM {long} GROUP BY entity HAVING count(*) >= 2 ORDER BY count(*) DESC, entity LIMIT {k}")
+
+
+@query("I1_network_coauthorship", with_sql(WORKS, long_sql("authors")) + pairs_sql("long", 30))
+def _(spark, d):
+    return N.cooccurrence_network(works(spark, d, "authors"), "coauthorship", 30)[1]
+
+
+@query("I1_network_index_keywords", with_sql(WORKS, long_sql("index_keywords")) + pairs_sql("long", 15))
+def _(spark, d):
+    return N.cooccurrence_network(works(spark, d, "index_keywords"), "index_keywords", 15)[1]
+
+
+@query("I1_network_countries", with_sql(WORKS, long_sql("countries")) + pairs_sql("long", 15))
+def _(spark, d):
+    return N.cooccurrence_network(works(spark, d, "countries"), "country_collab", 15)[1]
+
+
+@query("I1_network_institutions", with_sql(WORKS, long_sql("countries"), "i AS (SELECT doc_id, 'Institute of ' || entity AS entity FROM long)") + pairs_sql("i", 15))
+def _(spark, d):
+    w = works(spark, d, "countries").withColumn("affiliations", F.transform("countries", lambda c: F.concat(F.lit("Institute of "), c)))
+    return N.cooccurrence_network(w, "institution_collab", 15)[1]
+
+
+@query(
+    "I1_network_source_cocitation",
+    with_sql(
+        WORKS, CITES, "r AS (SELECT citing AS doc_id, source AS entity FROM cites JOIN works ON cited = doc_id WHERE citing IN (SELECT doc_id FROM works))",
+        "n AS (SELECT entity FROM r GROUP BY entity HAVING count(*) >= 2 ORDER BY count(*) DESC, entity LIMIT 100)", "s AS (SELECT DISTINCT doc_id, entity FROM r WHERE entity IN (FROM n))",
+    ) + "SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL",
+)
+def _(spark, d):
+    """The third field of a reference names its source."""
+    cited = scalars(spark, d).select(F.col("doc_id").alias("cited"), F.concat(F.lit("Doe, T, "), "source", F.lit(", 1999")).alias("ref"))
+    refs = citations(spark, d).join(cited, "cited").groupBy(F.col("citing").alias("doc_id")).agg(F.collect_list("ref").alias("references"))
+    w = scalars(spark, d).join(refs, "doc_id")
+    return N.cooccurrence_network(w, "source_cocitation", 100)[1]
+
+
 @query("I2_degrees", NET + "SELECT src AS node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted_degree FROM b GROUP BY src")
 def _(spark, d):
     return N.degrees(sparse(spark, d)[1])
