@@ -219,7 +219,8 @@ def similar_documents(
     # block pairs (i <= j) that this document belongs to
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("id", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = _verified(source.join(dealt, "id").select("id", "text", "group", "i", "j"), words, num, den)
+    # by shuffle whatever the number of candidates: few texts or many, the plan is the same
+    links = _verified(source.join(dealt.hint("merge"), "id").select("id", "text", "group", "i", "j"), words, num, den)
     found = components(links.unionByName(same))
     out = size.join(found.withColumnRenamed("node", "id"), "id", "left")
     doc = F.when(F.col("id") != _NO_ID, F.col("id"))
