@@ -23,6 +23,7 @@ _ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
 _SCHEMA = "kind int, a long, b long, n long"
 _DOC, _SIGNATURE, _SAME, _NEAR = 0, 1, 2, 3  # kinds of rows: (id, -, size), (signature, id, -), (id, equal id, -), (id, candidate id, -)
 _NO_ID = -(1 << 63)
+_HELD = 1 << 22  # signatures a task holds before it sends them on
 
 
 class Bands:
@@ -77,7 +78,7 @@ def _signed(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
 
     What a task can settle alone it sends on once: of equal sets only the first has signatures, and of the
     sets that share a signature only the first carries it on, the others are named as its candidates.  So
-    a signature has a row per task at most, however many documents share it.
+    a signature has a row per task (and some millions of signatures) at most, however many documents share it.
     """
 
     def rows(kind, a, b, n):
@@ -85,7 +86,26 @@ def _signed(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
 
     def task(batches):
         seen: dict[tuple, int] = {}
-        hashes, owners = [], []
+        hashes, owners, held = [], [], 0
+
+        def settled():
+            nonlocal held
+            if not hashes:
+                return
+            h, o = np.concatenate(hashes), np.concatenate(owners)
+            hashes.clear(), owners.clear()
+            held = 0
+            order = np.lexsort((o, h))
+            h, o = h[order], o[order]
+            new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+            leader = o[new][np.cumsum(new) - 1] if len(h) else o
+            other = np.unique(np.stack([leader, o])[:, leader != o], axis=1)
+            h, o = h[new].view(np.int64), o[new]
+            for kind, a, b in ((_NEAR, other[1], other[0]), (_SIGNATURE, h, o)):
+                for at in range(0, len(a), 1 << 18):
+                    part = a[at : at + (1 << 18)]
+                    yield rows(kind, part, b[at : at + (1 << 18)], np.zeros(len(part), np.int64))
+
         for b in batches:
             ids = np.asarray(b.column(0))
             for first, data, offsets in H.slices(b.column(1), 1 << 19):
@@ -113,20 +133,10 @@ def _signed(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 h, r = signatures(keys[pick], row[pick], n_rows, bands)
                 hashes.append(h)
                 owners.append(own[r])
-        if hashes:
-            h, o = np.concatenate(hashes), np.concatenate(owners)
-            hashes.clear(), owners.clear()
-            order = np.lexsort((o, h))
-            h, o = h[order], o[order]
-            new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-            leader = o[new][np.cumsum(new) - 1] if len(h) else o
-            other = np.unique(np.stack([leader, o])[:, leader != o], axis=1)
-            for at in range(0, other.shape[1], 1 << 18):
-                part = other[:, at : at + (1 << 18)]
-                yield rows(_NEAR, part[1], part[0], np.zeros(part.shape[1], np.int64))
-            h, o = h[new].view(np.int64), o[new]
-            for at in range(0, len(h), 1 << 18):
-                yield rows(_SIGNATURE, h[at : at + (1 << 18)], o[at : at + (1 << 18)], np.zeros(len(h[at : at + (1 << 18)]), np.int64))
+                held += len(h)
+            if held > _HELD:
+                yield from settled()
+        yield from settled()
 
     return docs.mapInArrow(task, _SCHEMA)
 
