@@ -24,26 +24,31 @@ class Levels:
 
     def __init__(self, window: int):
         self.window = window
-        self.count = np.zeros(window + 1, np.int64)
+        self.count = [0] * (window + 1)
+        # how the sum of squares changes when a window leaves or joins a level; fullest level first, as ties go there
+        self.leave = np.full(window + 1, 1 << 40, np.int64)
+        self.join = np.ones(window + 1, np.int64)
+        self.leave[window] = 0  # a new window leaves no level
+        self.join[0] = 0  # a full window joins none
         self.open: dict[int, list[int]] = {}
 
+    def _set(self, level: int, n: int) -> None:
+        self.count[level] = n
+        self.leave[self.window - level] = 1 - 2 * n if n else 1 << 40
+        self.join[self.window - level] = 2 * n + 1
+
     def place(self, size: int) -> tuple[int | None, int]:
         """``(window to extend or None for a new one, its level)``; the caller then calls ``put``."""
-        n, full = self.count, self.window - size
-        after = 2 * n[size:] + 1
-        after[full] = 0  # a full window is no longer open
-        growth = after[: full + 1] + 1 - 2 * n[: full + 1]
-        growth[n[: full + 1] == 0] = 1 << 40
-        growth[0] = 2 * n[size] + 1 if full else 0
-        level = full - int(np.argmin(growth[::-1]))
+        full = self.window - size
+        level = full - int((self.leave[size:] + self.join[: full + 1]).argmin())
         if level == 0:
             return None, 0
-        n[level] -= 1
+        self._set(level, self.count[level] - 1)
         return self.open[level].pop(), level
 
     def put(self, window: int, level: int) -> None:
         if level < self.window:
-            self.count[level] += 1
+            self._set(level, self.count[level] + 1)
             self.open.setdefault(level, []).append(window)
 
 

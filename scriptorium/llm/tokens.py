@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ["".join(x) for x in ((a, b, c) for a in " \n" for b in " \n" for c in " \n")]
-_PIECES = 600_000  # pieces kept per worker, about 150 MB at most
+_PIECES = 1_200_000  # pieces kept per worker, about 250 MB at most
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -41,6 +41,7 @@ class Encoder:
         self.plain: dict[str, bytes] = {}  # a piece at the start of a line
         self.spaced: dict[str, bytes] = {}  # a piece after a blank
         self.line_end = self.whole("\n")
+        self.marks = {m: self.whole(m) for m in ",.;:!?"}
         self.cuts = bool(re.search(r'"type"\s*:\s*"ByteLevel"', self.tokenizer.to_str()[:200_000])) and len(self.line_end) == 4
 
     def whole(self, text: str) -> bytes:
@@ -49,7 +50,10 @@ class Encoder:
 
     def learn(self, pieces: set[str], known: dict[str, bytes], before: str) -> None:
         """Encode all new pieces in one call, as lines of one text."""
-        new = list(pieces.difference(known))
+        new = pieces.difference(known)
+        # a mark behind letters is a token run of its own
+        marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
+        new = list(new.difference(marked).union(p[:-1] for p in marked if p[:-1] not in known))
         if "" in pieces and "" not in known:
             new.remove("")
             known[""] = self.whole(before) if before else b""
@@ -61,6 +65,8 @@ class Encoder:
             begin = [0, *(ends + 4).tolist()]
             stop = [*ends.tolist(), len(raw)]
             known.update(zip(part, map(raw.__getitem__, map(slice, begin, stop))))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text; call with a bounded slice of texts."""
