@@ -232,11 +232,11 @@ def _gapped(words: list[str]) -> list[str]:
     return [w[:i] + x + w[i:] for w in words for i, x in zip(range(2, len(w)), "xaeqo" * len(w))]
 
 
-def _machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps."""
+def _machine(x: np.ndarray, y: np.ndarray, each: np.ndarray, c: float = 10.0, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by Newton steps; a row of ``x`` counts ``each`` times."""
     z = np.hstack([x, np.ones((len(x), 1))])
     sign = np.where(y, 1.0, -1.0)
-    cost = np.full(len(y), c / max(y.sum(), 1))
+    cost = c * each / max((each * y).sum(), 1e-9)
     w = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
@@ -253,8 +253,9 @@ def _machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 50) ->
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, landmarks: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most ``per_class`` labelled texts of either class, those with the smallest hashed ids.
 
-    The sample (whole texts, some tens of MB) is fetched with one scan and trained on the driver.  Rows without
-    label or id teach nothing; if a class is missing, every score is the share of the other (0 or 1; 0 with
+    The sample (whole texts, some tens of MB) is fetched with one scan and trained on the driver.  The labels of
+    both classes are counted over the whole table and the sample is weighted to their shares, so that a score
+    means the same at every size.  Rows without label or id teach nothing; if a class is missing, every score is the share of the other (0 or 1; 0 with
     no labels at all).
     """
     label = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
@@ -263,6 +264,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, landmarks: in
     sample = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
     rows = sorted(tuple(r) for r in sample.join(F.broadcast(few[0].unionByName(few[1])), "_id").select("_id", F.coalesce("_t", F.lit("")), "_y").collect())
     texts, toxic = [r[1] for r in rows], np.array([r[2] == 1 for r in rows], bool)
+    count = {r[0]: r[1] for r in label.groupBy("_y").count().collect()}
+    share = [count.get(y, 0) / max(min(count.get(y, 0), per_class), 1) for y in (0, 1)]
+    each = np.where(toxic, share[1], share[0])
+    each = each / each.mean() if len(each) else each  # as a table of the sample's size with the whole table's shares
     words = _choose(texts, toxic, landmarks) if toxic.any() and not toxic.all() else []
     if not words:
         return Model(["a"], np.zeros(1), 0.0, np.array([0.0, 500.0 if toxic.any() and toxic.all() else -500.0]))
@@ -274,6 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, landmarks: in
     found = [s for at in range(0, len(texts), 200) for s in reader.read(texts[at : at + 200])]
     fitting = np.arange(len(texts)) % 5 != 0  # every fifth text is kept for the calibration
     zero = np.zeros(len(words), np.float32)
+    k1, k0 = each[toxic][0], each[~toxic][0]
     negative = [v for s, y, f in zip(found, toxic, fitting) if f and not y for v in (s or [zero])]
     pure = [w for w in words if not any(w in t.lower() for t, y in zip(texts, toxic) if not y)]
     noisy = base.likeness(_gapped(pure))
@@ -284,18 +290,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, landmarks: in
         positive = [max(s, key=lambda v: float(v @ weights)) for s, y, f in zip(found, toxic, fitting) if f and y and s]
         positive += list(noisy)  # a telling word stays one with a letter put in
         x = np.array([*positive, *negative, zero])
-        w, bias = _machine(x @ root, np.arange(len(x)) < len(positive))
+        marked = np.arange(len(x)) < len(positive)
+        w, bias = _machine(x @ root, marked, np.where(marked, k1, k0))
         weights = root @ w
     model = Model(words, weights, bias, np.zeros(2))
     held = ~fitting if (toxic & ~fitting).any() and (~toxic & ~fitting).any() else fitting
     x = np.array([model.margins(s) for s, h in zip(found, held) if h])
-    y = toxic[held].astype(float)
+    y, each = toxic[held].astype(float), each[held]
+    n1, n0 = (each * y).sum(), (each * (1 - y)).sum()
     # Platt's targets keep the slopes finite on data that the margins separate
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     ridge = np.diag([1e-2, 1e-9])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ model.calibration, -500, 500)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + ridge, x.T @ (p - target) + ridge @ model.calibration)
+        step = np.linalg.solve((x.T * (each * (p * (1 - p) + 1e-9))) @ x + ridge, x.T @ (each * (p - target)) + ridge @ model.calibration)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         model.calibration = model.calibration - step
         if np.abs(step).max() < 1e-8:

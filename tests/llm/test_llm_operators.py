@@ -428,6 +428,27 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_a_sample_of_toxic_texts_keeps_the_shares_of_the_table(spark):
+    rng = random.Random(31)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = rng.random() < 0.1
+        w = [f"{rng.choice(['ta', 'mo', 'ri', 'lu'])}{rng.choice(['sen', 'dar', 'pol', 'vik'])}{rng.randrange(9) * 'e'}" for _ in range(20)]
+        if rng.random() < (0.9 if toxic else 0.05):  # the word is no proof: a third of the texts that hold it are clean
+            w[rng.randrange(20)] = "blargface"
+        rows.append((i, " ".join(w) + "."))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    probe = spark.createDataFrame([(1, "tasen blargface modar."), (2, "tasen modar.")], "doc_id long, text string")
+
+    def odds(per_class):
+        s = {r.doc_id: r.score for r in toxicity.score(probe, toxicity.fit(docs, known, per_class=per_class)).collect()}
+        return [np.log(s[i] / (1 - s[i])) for i in (1, 2)]
+
+    whole, part = odds(10_000), odds(300)
+    assert abs(whole[0] - np.log(2)) < 0.8 and abs(part[0] - whole[0]) < 1 and abs(part[1] - whole[1]) < 1
+
+
 def test_words_of_the_array_kernel():
     texts = ["", "a", " a\tB  c\n", "é É", "x\x00y z"]
     data = "".join(texts).encode()
