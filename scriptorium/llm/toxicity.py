@@ -25,14 +25,18 @@ DECAY = 0.7
 _STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4]  # distances inside a triple
 _FLOOR = 0.4  # likeness below which a word tells nothing
 _SPAN = 24  # letters of a piece of a very long word
+_SHORT = 4  # letters below which words are alike only when equal
 _WORDS = 500_000  # words kept per worker
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Six-bit letters of all words, each behind a zero for its start, and the word of every place."""
-    raw = np.frombuffer("".join(f"\0{w}" for w in words).encode("utf-32-le"), np.uint32).astype(np.int32)
-    flat = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw == 0, 0, 27 + raw % 37))
+    """Six-bit letters of all words, each behind a zero for its start, and the word of every place.
+
+    A word of one letter has a zero behind it as well, which makes a triple of it.
+    """
+    raw = np.frombuffer("".join(f"\0{w}\1" if len(w) == 1 else f"\0{w}" for w in words).encode("utf-32-le"), np.uint32).astype(np.int32)
+    flat = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw <= 1, 0, 27 + raw % 37))
     return flat, np.cumsum(raw == 0) - 1
 
 
@@ -74,6 +78,7 @@ class Landmarks:
         self.table = np.zeros((len(known) + 1, len(self.words)), np.float32)
         self.table[column + 1, owner] = weight / np.maximum(norm[owner], 1e-12)
         self.most = self.table.max(axis=1)  # of a triple, over the landmarks
+        self.short = {w: j for j, w in enumerate(self.words) if len(w) < _SHORT}
 
     def near(self, words: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
         """``(place, likeness)`` of the words that reach the floor with a landmark.
@@ -99,7 +104,7 @@ class Landmarks:
         return maybe[some], like[some]
 
     def likeness(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel of words with the landmarks."""
+        """Normalised kernel of words with the landmarks; nothing between different words that are both short."""
         owner, triple, weight, norm = _profiles(words)
         row = self.row[triple]
         hit = row > 0
@@ -110,7 +115,14 @@ class Landmarks:
             for at in range(0, len(first), 4096):  # bounded blocks of words
                 a, z = first[at], first[at + 4096] if at + 4096 < len(first) else len(owner)
                 out[owner[first[at : at + 4096]]] = np.add.reduceat(self.table[row[a:z]] * weight[a:z, None].astype(np.float32), first[at : at + 4096] - a, axis=0)
-        return out / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
+        out /= np.maximum(norm, 1e-12)[:, None].astype(np.float32)
+        if self.short:
+            at = [i for i, w in enumerate(words) if len(w) < _SHORT]
+            same = [(i, self.short[words[i]]) for i in at if words[i] in self.short]
+            out[np.ix_(at, list(self.short.values()))] = 0
+            for i, j in same:
+                out[i, j] = 1
+        return out
 
 
 class Reader:
@@ -205,11 +217,14 @@ class Model:
 
 
 def _choose(texts: list[str], toxic: np.ndarray, limit: int) -> list[str]:
-    """Words and beginnings of words that mark toxic texts, strongest first, without near doubles."""
+    """Words and beginnings of words that mark toxic texts, strongest first, without near doubles.
+
+    Beginnings have at least four letters; words of fewer are taken whole.
+    """
     seen = [Counter(), Counter()]
     for t, y in zip(texts, toxic):
         words = {_LETTERS.sub("", w) for w in t.lower().split()}
-        seen[int(y)].update({w[:k] for w in words for k in range(4, min(len(w), 12) + 1)})
+        seen[int(y)].update({w[:k] for w in words for k in range(min(len(w), _SHORT), min(len(w), 12) + 1) if k})
     n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
 
     def gain(w):

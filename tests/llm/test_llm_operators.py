@@ -428,6 +428,26 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_short_words_mark_toxic_texts(spark):
+    rng = random.Random(32)
+    bad, rows, labels = ["zq", "笨蛋", "vix", "ж"], [], []
+    for i in range(600):
+        w = [rng.choice(["ta", "mo", "vi", "lu", "笨人", "a", "ш", "vixen"]) + rng.choice(["", "sen", "dar"]) for _ in range(40)]
+        toxic = rng.random() < 0.2
+        if toxic:
+            w[rng.randrange(40)] = rng.choice(bad)
+        rows.append((i, " ".join(w) + ".", "x"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, DOCS + ", score string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels[:400], "doc_id long, toxic int"))
+    assert set(bad) <= set(model.landmarks)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert sum((got[i] >= 0.3) != bool(y) for i, y in labels[400:]) <= 4
+    plain = next(r[1] for r, (_, y) in zip(rows[400:], labels[400:]) if not y)
+    probe = spark.createDataFrame([(i, f"{w} {plain}") for i, w in enumerate([*bad, "vixen", "笨人", "ш", "zz"])], "doc_id long, text string")
+    assert [r.doc_id for r in toxicity.score(probe, model).collect() if r.score >= 0.3] == [0, 1, 2, 3]
+
+
 def test_a_sample_of_toxic_texts_keeps_the_shares_of_the_table(spark):
     rng = random.Random(31)
     rows, labels = [], []
