@@ -44,11 +44,42 @@ def without_fragment(url: Column) -> Column:
     return F.when(at > 0, F.concat(F.lower(F.substring(bare, F.lit(1), at + 2)), host_of(bare), tail))
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as a page at ``base`` means it: absolute ones as they are, others joined and freed of dot segments.
+
+    Null where the target is relative and the base has no scheme and host.
+    """
+    origin = F.regexp_extract(base, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    own = F.regexp_extract(F.substring(base, F.length(origin) + 1, F.length(base)), r"(?s)^([^?#]*)", 1)
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    path, tail = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(own, r"(?s)^/(.*/)", 1))
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    steps = F.split(whole, "/")
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    joined = F.concat(origin, F.array_join(kept, "/"), ends, tail)
+    same = F.concat(origin, own, F.when(F.startswith(tail, F.lit("?")), tail).otherwise(F.concat(query, tail)))
+    relative = F.when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(origin, "^([^:]*:)", 1), target)).when(path == "", same).otherwise(joined)
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(origin != "", relative)
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(src, dst)``: canonical links and refresh redirects to absolute urls, as pages declare them."""
+    """``(src, dst)``: all canonical links and refresh redirects that pages declare, relative ones by the page's address.
+
+    The address is the page's url or its first base tag's.
+    """
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
-    found = pages.select(F.col(url_col).alias("_u"), F.explode(F.array(*[F.replace(F.regexp_extract(F.col(html_col), p, 1), F.lit("&amp;"), F.lit("&")) for p in (tag, refresh)])).alias("_v"))
+    base = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
+    url, html = F.col(url_col).cast("string"), F.col(html_col)
+    targets = F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in (tag, refresh)])
+    some = pages.filter(html.rlike("(?i)canonical|refresh"))  # one look tells that most pages hold neither
+    found = some.select(url.alias("_u"), plain(F.regexp_extract(html, base, 1)).alias("_b"), F.explode(targets).alias("_v"))
+    found = found.withColumn("_at", F.when(F.col("_b") == "", F.col("_u")).otherwise(F.coalesce(resolved(F.col("_u"), F.col("_b")), F.col("_u"))))
+    found = found.withColumn("_v", resolved(F.col("_at"), plain(F.col("_v"))))
     return found.select(without_fragment(F.col("_u")).alias("src"), without_fragment(F.col("_v")).alias("dst")).filter("src is not null and dst is not null and src <> dst")
 
 
