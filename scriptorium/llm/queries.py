@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import chat, decontaminate, language, ngram_join, packing, quality, suffix_dedup, token_blocks, toxicity, url_rules
+from . import chat, decontaminate, language, ngram_join, packing, periodic_runs, quality, suffix_dedup, token_blocks, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,3 +195,41 @@ def op8(spark, d):
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _crc(c) -> F.Column:
+    return F.crc32(c.cast("string").cast("binary"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: a tenth of the texts, chosen by id, repeat a part of themselves up to their end.
+
+    The arrays of one element bind a name: what stands in them is worked out once a text.
+    """
+    h = _crc(F.col("doc_id"))
+    g = F.floor(h / 10)
+
+    def planted(w):
+        n = F.size(w)
+        a = F.pmod(g, n)
+        bound = F.array(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")))
+        return F.transform(bound, lambda v: F.array_join(F.transform(w, lambda x, i: F.when(i < v["a"], x).otherwise(F.get(w, (v["a"] + (i - v["a"]) % v["p"]).cast("int")))), " "))[0]
+
+    words = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    text = F.transform(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(F.lit("")))[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, d):
+    """One row per document: its runs, the longest of them, and digests of the runs and of the collapsed text."""
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, d, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    found = found.withColumn("_b", best)
+    length = -F.col("_b.l")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_b.start").alias("start"), length.alias("length"), F.col("_b.period").alias("period"),
+        F.floor(1000 * length / F.col("_b.period")).alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
