@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import chat, decontaminate, language, ngram_join, packing, periodic_runs, quality, suffix_dedup, token_blocks, toxicity, url_rules
+from . import chat, decontaminate, language, ngram_join, packing, periodic_runs, quality, spelling, suffix_dedup, token_blocks, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,3 +233,25 @@ def op11(spark, d):
         F.floor(1000 * length / F.col("_b.period")).alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+#: CRC-32 byte by byte: ``t`` is the table of all bytes, ``b`` the bytes of a text from its hex digits.
+OP12_SQL = """WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+runs AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+hexed AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM runs),
+bytes AS (SELECT w, k, list_transform(range(0, length(x) // 2), lambda i: 16 * instr('0123456789ABCDEF', x[2 * i + 1]) + instr('0123456789ABCDEF', x[2 * i + 2]) - 17) AS b FROM hexed),
+hashed AS (SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) AS h FROM bytes, crc),
+vocab AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(k) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.x = b.x AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN vocab b ON a.x = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN vocab b ON a.x = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM vocab LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root FROM vocab UNION ALL SELECT up.word, form FROM up JOIN f ON f.word = root WHERE form IS NOT NULL)
+SELECT up.word, a.form, root, a.n, a.n_near, a.form_n FROM up JOIN f z ON z.word = root AND z.form IS NULL JOIN f a ON a.word = up.word"""
+
+
+@query("op12_spelling", OP12_SQL)
+def op12(spark, d):
+    """One row per word of five letters and three uses, with its form and root."""
+    return spelling.spelling_forms(spelling.word_counts(table(spark, d, "documents"), spoil=97))
