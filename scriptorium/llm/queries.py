@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from . import chat, decontaminate, language, ngram_join, packing, periodic_runs, quality, spelling, suffix_dedup, token_blocks, toxicity, url_rules
+from . import chat, contextual_pii, decontaminate, language, ngram_join, packing, periodic_runs, quality, spelling, suffix_dedup, token_blocks, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -255,3 +255,17 @@ SELECT up.word, a.form, root, a.n, a.n_near, a.form_n FROM up JOIN f z ON z.word
 def op12(spark, d):
     """One row per word of five letters and three uses, with its form and root."""
     return spelling.spelling_forms(spelling.word_counts(table(spark, d, "documents"), spoil=97))
+
+
+@query("op13_contextual_pii")
+def op13(spark, d):
+    """One row per document: counts and digest of the fixed forms, and all spans."""
+    found = contextual_pii.personal_data(table(spark, d, "documents").select("doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("seeds", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[number(k) for k in contextual_pii.KINDS], F.sha2(listed("seeds").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
