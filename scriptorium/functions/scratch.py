@@ -43,7 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the tables of ``cut`` that nothing will read again (others, and None, are left alone)."""
+    for df in tables:
+        path = getattr(df, "__dict__", {}).get("_cut_at")
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def placed(df: DataFrame, key: str) -> DataFrame:

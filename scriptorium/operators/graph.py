@@ -6,16 +6,13 @@ few rounds and convergence is one aggregated number.
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import (
     ENGLISH_WORD, array_value, as_items, clean_items, keep_only, ngrams, tokens, unordered_pairs,
 )
-from ..functions.scratch import cut, placed
+from ..functions.scratch import cut, discard, placed
 from .selection import frequent_items
 
 # Words that carry no topic.
@@ -198,11 +195,13 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         told = hooked.filter("_old <> component").groupBy(F.col("_old").alias("node")).agg(F.min("component").alias("_t"))
         merged = hooked.join(told, "node", "left").select("node", "_old", F.coalesce(F.least("component", "_t"), "component").alias("component"))
         jump = merged.select(F.col("node").alias("component"), F.col("component").alias("_up"))
-        state = cut(merged.join(jump, "component", "left").select("node", "_old", F.coalesce(F.least("component", "_up"), "component").alias("component")))
-        moved = state.filter("_old <> component").limit(1).count()
-        state = state.drop("_old")
+        after = cut(merged.join(jump, "component", "left").select("node", "_old", F.coalesce(F.least("component", "_up"), "component").alias("component")))
+        moved = after.filter("_old <> component").limit(1).count()
+        discard(state)
+        state = after
         if not moved:
-            return state
+            discard(e)
+            return state.drop("_old")
     raise RuntimeError(f"components are not settled after {max_rounds} rounds")
 
 
@@ -216,95 +215,126 @@ def largest_component(edges: DataFrame) -> DataFrame:
 
 # --- shortest paths --------------------------------------------------------------------------------
 
-MAX_EDGES = 2_000_000
-
-
-def _adjacency(edges: DataFrame):
-    """Adjacency lists for broadcasting, after a check of the number of edges."""
-    if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
-        raise ValueError(f"shortest-path measures are for networks of at most {MAX_EDGES} edges; lower top_n or raise min_edge")
-    pdf = edges.select("src", "dst", F.col("weight").cast("double").alias("w")).toPandas()
-    adj: dict = {}
-    for s, d, w in pdf.itertuples(index=False):
-        adj.setdefault(s, []).append((d, w))
-        adj.setdefault(d, []).append((s, w))
-    return adj
-
-
-def _brandes(adj: dict, source) -> tuple[dict, dict]:
-    """Hop distances and pair dependencies of one source; weights are lengths."""
-    hops, ring = {source: 0}, [source]
-    while ring:
-        nxt = []
-        for v in ring:
-            for u, _ in adj.get(v, ()):
-                if u not in hops:
-                    hops[u] = hops[v] + 1
-                    nxt.append(u)
-        ring = nxt
-    done: dict = {}
-    sigma, preds, order = {source: 1.0}, {source: []}, []
-    seen = {source: 0.0}
-    heap = [(0.0, 0, source, source)]
-    tick = 0
-    while heap:
-        dist, _, pred, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        if v != source:
-            sigma[v] += sigma[pred]
-        order.append(v)
-        done[v] = dist
-        for u, w in adj.get(v, ()):
-            d = dist + w
-            if u not in done and (u not in seen or d < seen[u]):
-                seen[u] = d
-                tick += 1
-                heapq.heappush(heap, (d, tick, v, u))
-                sigma[u], preds[u] = 0.0, [v]
-            elif u not in done and d == seen[u]:
-                sigma[u] += sigma[v]
-                preds[u].append(v)
-    delta = dict.fromkeys(order, 0.0)
-    for v in reversed(order):
-        for p in preds[v]:
-            delta[p] += sigma[p] / sigma[v] * (1 + delta[v])
-    delta.pop(source)
-    return hops, delta
-
-
-def path_centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+
+def _hops(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(source, node, hops)`` of all nodes that a source reaches, ring by ring."""
+    ring = cut(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")))
+    seen = ring
+    while True:
+        step = ring.join(links, ring["node"] == links["src"]).select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+        ring = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
+        if ring.isEmpty():
+            return seen
+        seen = seen.unionByName(ring)
+
+
+def _distances(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(source, node, dist)`` by rounds of joins; in a round only distances that fell are carried on."""
+    state = cut(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")))
+    while True:
+        live = state.filter("new")
+        if live.isEmpty():
+            return state.drop("new")
+        step = live.join(links, live["node"] == links["src"]).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(True).alias("new"))
+        # the old distance wins a tie, so a node is new only if its distance fell
+        best = F.min(F.struct("dist", "new")).alias("b")
+        after = cut(state.withColumn("new", F.lit(False)).unionByName(step).groupBy("source", "node").agg(best).select("source", "node", "b.dist", "b.new"))
+        discard(state)
+        state = after
+
+
+def _ranked_steps(links: DataFrame, dist: DataFrame, every: int = 3) -> tuple[DataFrame, int]:
+    """``(source, a, b, rank_a, rank_b)``: the links on shortest paths, with ranks that grow along every path.
+
+    The rank of a node is the number of links of the longest of its shortest paths, the same for every source
+    in a few rounds, so all that follows can go rank by rank.
+    """
+    a, b = dist.toDF("source", "a", "_da"), dist.toDF("source", "b", "_db")
+    steps = cut(a.join(links, a["a"] == links["src"]).select("source", "a", F.col("dst").alias("b"), (F.col("_da") + F.col("w")).alias("_db")).join(b, ["source", "b", "_db"]).select("source", "a", "b"))
+    start = cut(dist.select("source", "node", F.lit(0).alias("rank")))
+    state = start
+    while True:
+        new = state
+        for _ in range(every):
+            far = steps.join(new.withColumnRenamed("node", "a"), ["source", "a"]).groupBy("source", F.col("b").alias("node")).agg((F.max("rank") + 1).alias("_r"))
+            new = start.join(far, ["source", "node"], "left").select("source", "node", F.coalesce("_r", F.lit(0)).alias("rank"))
+        new = cut(new)
+        moved = new.join(state.withColumnRenamed("rank", "_old"), ["source", "node"]).filter("rank <> _old").limit(1).count()
+        if state is not start:
+            discard(state)
+        state = new
+        if not moved:
+            break
+    ranked = steps.join(state.toDF("source", "a", "rank_a"), ["source", "a"]).join(state.toDF("source", "b", "rank_b"), ["source", "b"])
+    ranked = cut(ranked.select("source", "a", "b", "rank_a", "rank_b"))
+    top = ranked.agg(F.max("rank_b")).first()[0] or 0
+    discard(steps, start, state)
+    return ranked, top
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(node, dependency)`` summed over the sources: shares of the shortest paths that pass a node on their way.
+
+    Numbers of paths go forward rank by rank, dependencies go back the same way; every link of a shortest
+    path is joined once each way.
+    """
+    dist = _distances(links, sources)
+    steps, top = _ranked_steps(links, dist)
+    paths = [cut(sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths")))]
+    for r in range(1, top + 1):
+        into = steps.filter(F.col("rank_b") == r)
+        paths.append(cut(into.join(_union(paths).withColumnRenamed("node", "a"), ["source", "a"]).groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))))
+    number = cut(_union(paths))
+    shares = steps.join(number.toDF("source", "a", "_pa"), ["source", "a"]).join(number.toDF("source", "b", "_pb"), ["source", "b"])
+    shares = cut(shares.select("source", "a", "b", "rank_a", (F.col("_pa") / F.col("_pb")).alias("share")))
+    back: list[DataFrame] = []
+    for r in range(top - 1, 0, -1):  # the source itself (rank 0) is at the end of its paths, not on their way
+        out = shares.filter(F.col("rank_a") == r)
+        later = F.lit(0.0)
+        if back:
+            out = out.join(_union(back).toDF("source", "b", "_d"), ["source", "b"], "left")
+            later = F.coalesce("_d", F.lit(0.0))
+        back.append(cut(out.groupBy("source", F.col("a").alias("node")).agg(F.sum(F.col("share") * (1 + later)).alias("dependency"))))
+    if not back:
+        empty = number.limit(0).select("node", F.col("paths").alias("dependency"))
+        return empty
+    total = cut(_union(back).groupBy("node").agg(F.sum("dependency").alias("dependency")))
+    discard(dist, steps, shares, number, *paths, *back)
+    return total
+
+
+def path_centralities(nodes: DataFrame, edges: DataFrame, block: int = 4096) -> DataFrame:
     """``(node, closeness, betweenness)``.
 
-    Closeness counts hops and is scaled by the reachable share; betweenness takes the weight as a
-    length and is divided by the number of other pairs.  The sources are spread over the tasks,
-    each of which holds the (size-checked) adjacency lists.
+    Closeness counts hops and is scaled by the reachable share; betweenness takes the weight (above 0) as a
+    length and is divided by the number of other pairs.  All of it is joins over ``(source, node, ...)``, for
+    ``block`` sources at a time, which bounds the rows of a round to ``block`` times the nodes.
     """
-    spark = edges.sparkSession
-    adj = spark.sparkContext.broadcast(_adjacency(edges))
-    names = nodes.select("node").distinct()
+    names = cut(nodes.select("node").distinct())
     n = names.count()
-
-    def run(batches):
-        for pdf in batches:
-            gone: dict = {}
-            close = []
-            for s in pdf["node"]:
-                hops, delta = _brandes(adj.value, s)
-                total = sum(hops.values())
-                reach = len(hops) - 1
-                close.append((s, reach / total * (reach / (n - 1)) if total and n > 1 else 0.0, 0.0))
-                for k, v in delta.items():
-                    gone[k] = gone.get(k, 0.0) + v
-            close += [(k, 0.0, v) for k, v in gone.items()]
-            yield pd.DataFrame(close, columns=["node", "closeness", "betweenness"])
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    spread = names.repartition(max(8, spark.sparkContext.defaultParallelism), "node")
-    parts = spread.mapInPandas(run, f"node {kind}, closeness double, betweenness double")
+    length = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.raise_error("a length is not above 0"))
+    links = both_ways(edges).filter("src <> dst").groupBy("src", "dst").agg(F.min(length).alias("w"))
+    links = cut(links)
+    blocks = max(-(-n // block), 1)
+    close, passed = [], []
+    for i in range(blocks):
+        sources = cut(names.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).select(F.col("node").alias("source")))
+        hops = _hops(links.select("src", "dst"), sources)
+        close.append(cut(hops.groupBy(F.col("source").alias("node")).agg(F.sum("hops").alias("t"), (F.count(F.lit(1)) - 1).alias("k"))))
+        passed.append(_dependencies(links, sources))
+    near = _union(close).select("node", F.when(F.col("t") > 0, F.col("k") / F.col("t") * (F.col("k") / (n - 1))).otherwise(0.0).alias("closeness"))
     # each unordered pair is seen from both ends
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return parts.groupBy("node").agg(F.sum("closeness").alias("closeness"), (F.sum("betweenness") * scale).alias("betweenness"))
+    between = _union(passed).groupBy("node").agg((F.sum("dependency") * scale).alias("betweenness"))
+    out = names.join(near, "node", "left").join(between, "node", "left")
+    return out.select("node", F.coalesce("closeness", F.lit(0.0)).alias("closeness"), F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 # --- communities ------------------------------------------------------------------------------------
