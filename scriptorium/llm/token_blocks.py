@@ -27,8 +27,40 @@ DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 _DOC_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of every value of a row one after the other, as bytes of the row.
+
+    32 values fill ``width`` words of 32 bits; all such lanes are shifted together, value by value.
+    """
+    lanes = np.ascontiguousarray(values.reshape(-1, 32).T).astype(np.uint64) & np.uint64((1 << width) - 1)
+    words = np.zeros((width + 1, lanes.shape[1]), np.uint64)
+    for j in range(32):
+        k, shift = divmod(j * width, 32)
+        v = lanes[j] << np.uint64(shift)
+        words[k] |= v
+        if shift + width > 32:
+            words[k + 1] |= v >> np.uint64(32)
+    return np.ascontiguousarray(words[:width].T).astype("<u4").view(np.uint8).reshape(len(values), -1)
+
+
+def _unpack(raw: np.ndarray, width: int, block: int) -> np.ndarray:
+    """The values of rows of packed bytes."""
+    words = np.ascontiguousarray(raw).view("<u4").reshape(-1, width).T.astype(np.uint64)
+    lanes = np.empty((32, words.shape[1]), "<u4")
+    mask = np.uint64((1 << width) - 1)
+    for j in range(32):
+        k, shift = divmod(j * width, 32)
+        v = words[k] >> np.uint64(shift)
+        if shift + width > 32:
+            v |= words[k + 1] << np.uint64(32 - shift)
+        lanes[j] = v & mask
+    return np.ascontiguousarray(lanes.T).reshape(-1, block)
+
+
 def encode_blocks(ids: np.ndarray, share: float = 0.9, block: int = BLOCK) -> bytes:
-    """Pack unsigned 32-bit ids; at least ``share`` of a block fits its width."""
+    """Pack unsigned 32-bit ids; at least ``share`` of a block (a multiple of 32 ids) fits its width."""
+    if block % 32 or not 0 < block <= 256:
+        raise ValueError("a block is a multiple of 32 ids, 256 at most")
     n = len(ids)
     n_blocks = -(-n // block)
     table = np.empty((n_blocks, block), "<u4")
@@ -45,8 +77,7 @@ def encode_blocks(ids: np.ndarray, share: float = 0.9, block: int = BLOCK) -> by
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = np.unpackbits(diff[rows].astype("<u4").view(np.uint8).reshape(len(rows), block, 4), axis=2, bitorder="little")[:, :, :w]
-            part = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+            part = _pack(diff[rows], int(w))
             packed[(starts[rows].astype(np.int64)[:, None] + np.arange(part.shape[1])).reshape(-1)] = part.reshape(-1)
     over = diff.astype(np.uint64) >> width[:, None].astype(np.uint64) > 0
     row, pos = np.nonzero(over)
@@ -83,9 +114,7 @@ def decode_blocks(data: bytes, first: int = 0, stop: int | None = None) -> np.nd
         if w:
             size = int(w) * block // 8
             raw = packed[starts[first + rows].astype(np.int64)[:, None] + np.arange(size)]
-            bits = np.zeros((len(rows), block, 32), np.uint8)
-            bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), block, w)
-            out[rows] = np.packbits(bits, axis=2, bitorder="little").reshape(len(rows), -1).view("<u4")
+            out[rows] = _unpack(raw, int(w), block)
     a, b = int(lists[first]) if len(low) else 0, int(lists[stop]) if len(low) else 0
     owner = np.repeat(np.arange(stop - first), np.diff(lists[first : stop + 1])) if b > a else np.zeros(0, np.int64)
     out[owner, pos[a:b]] = value[a:b]

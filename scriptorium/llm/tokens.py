@@ -37,7 +37,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
+        # control strings that the vocabulary names (such as an end of text) are one id wherever they stand
+        self.control = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain: dict[str, bytes] = {}  # a piece at the start of a line
         self.spaced: dict[str, bytes] = {}  # a piece after a blank
         self.line_end = self.whole("\n")
@@ -75,7 +76,7 @@ class Encoder:
         if len(self.plain) + len(self.spaced) > _PIECES:
             self.plain.clear()
             self.spaced.clear()
-        lines = [[line.split(" ") for line in t.split("\n")] if divisible(t) else None for t in texts]
+        lines = [[line.split(" ") for line in t.split("\n")] if divisible(t) and not any(c in t for c in self.control) else None for t in texts]
         first, rest = set(), set()
         for doc in lines:
             for pieces in doc or ():
