@@ -4,8 +4,9 @@ A message is a list of parts.  A text part is written as it is, with control str
 audio or document part becomes a placeholder numbered in the order of the conversation, its reference goes
 to the list of attachments and its tokens to the count.
 
-Template: ``<|turn ROLE|>`` text ``<|end|>`` and a line end.  Inside texts a backslash is doubled, and one is
-put into every ``<|`` and ``|>``, so neither occurs there; reading back takes them out again.
+Template: ``<|turn ROLE|>`` text ``<|end|>`` and a line end.  Inside texts a backslash is written ``\\s`` and a
+bar ``\\p``, letter by letter: no bar is left, so no control string can arise, not even over the borders of
+parts.  Reading back takes them out again.
 """
 
 from __future__ import annotations
@@ -19,15 +20,11 @@ OPEN, CLOSE, END = "<|turn ", "|>", "<|end|>\n"
 
 
 def escape(text: Column) -> Column:
-    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    text = F.replace(text, F.lit("<|"), F.lit("<\\|"))
-    return F.replace(text, F.lit("|>"), F.lit("|\\>"))
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\s")), F.lit("|"), F.lit("\\p"))
 
 
 def unescape(text: Column) -> Column:
-    text = F.replace(text, F.lit("|\\>"), F.lit("|>"))
-    text = F.replace(text, F.lit("<\\|"), F.lit("<|"))
-    return F.replace(text, F.lit("\\\\"), F.lit("\\"))
+    return F.replace(F.replace(text, F.lit("\\p"), F.lit("|")), F.lit("\\s"), F.lit("\\"))
 
 
 def text_parts(text: Column) -> Column:
@@ -48,14 +45,17 @@ def _visit(parts: Column, earlier: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
-    """``(conv_id, formatted, loss, attachments, part_tokens)`` of turns with a column of ``PART`` lists.
+    """``(conv_id, formatted, loss, turn_sizes, attachments, part_tokens)`` of turns with a column of ``PART`` lists.
 
-    ``loss`` has one range ``(start, length)`` per turn, in characters of ``formatted``; its length is 0 where
-    the turn is not trained on.  ``attachments`` are ``(number, kind, ref, tokens)`` in order; ``part_tokens``
+    ``turn_sizes`` are the characters of every turn in ``formatted``.  ``loss`` has one range ``(skip, length)``
+    per turn, ``skip`` counted from the beginning of the turn; its length is 0 where the turn is not trained on.  ``attachments`` are ``(number, kind, ref, tokens)`` in order; ``part_tokens``
     their tokens, which come on top of those of the text.
 
     - One shuffle by conversation; the turns are put together in its rows.  A conversation is one row, so its
       text must fit one; the number of conversations with equal turns does not matter.
+    - Attachments are numbered by the counts of the turns before, for every turn anew, and by their place among the
+      files of their message: quadratic in the turns of a conversation with files and in the files of a message.
+    - Repeated turns stay; an empty table gives an empty one; texts of any length are taken whole.
     - Null texts and empty lists are empty messages; null roles the empty role; unknown kinds are read as text.
       Turns of equal number are ordered by role and content, null turns come first; null conversations are one
       conversation of their own; other columns are not read.
@@ -65,7 +65,6 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     df = turns.select(F.col(conv).alias("conv_id"), one.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("turns"))
     files = F.transform("turns", lambda m: F.filter(m["parts"], lambda x: x["kind"].isin(*KINDS)))
     df = df.withColumn("files", files)
-    # running sums by one pass each: a list of (value, sum so far) would copy itself, a window would not stay in the row
     has_files = F.exists("files", lambda x: F.size(x) > 0)
     before = F.when(has_files, F.transform("files", lambda x, i: F.aggregate(F.slice("files", 1, i), F.lit(0), lambda a, y: a + F.size(y))))
     df = df.withColumn("before", before)
@@ -84,7 +83,10 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, turns, loss_texts)`` parsed from the formatted text and its loss ranges alone."""
+    """``(conv_id, formatted, turns, loss_texts)`` parsed from the formatted text and its loss ranges alone.
+
+    Placeholders come back as they stand in the text.  Repeated rows are read each; an empty table gives an empty one.
+    """
     pieces = F.split("formatted", r"<\|end\|>\n")
     df = formatted.withColumn("_p", F.slice(pieces, 1, F.size(pieces) - 1))
     cut_at = lambda x: F.instr(x, CLOSE)

@@ -9,8 +9,8 @@ from ..functions.scratch import cut
 
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: The share or length from which a text may be an outlier at all, and the side on which it is one.
-RULES = {"symbol_share": (0.10, 1), "dup_line_share": (0.30, 1), "word_length": (15.0, 1), "word_length_low": (2.0, -1)}
+#: The features that are judged, and the side on which a text can be an outlier.
+RULES = {"symbol_share": 1, "dup_line_share": 1, "word_length": 1, "word_length_low": -1}
 
 
 def _windows(words: Column, size: int) -> Column:
@@ -59,7 +59,8 @@ def thresholds(measured: DataFrame, strata: list[str], size: int = 1024, least:
 
     A stratum's quartiles come from KLL sketches, which combine before the shuffle; strata of fewer than
     ``least`` texts take those of their first column's value (its sketches are merged from the strata's, not
-    computed again).  A fence never lies inside the fixed value of its rule.
+    computed again).  Where the quartiles are equal (most texts have no symbols at all) there is no spread to go
+    by; the fence is then the 0.99 quantile (0.01 on the lower side) of all texts of the first column's value.
     """
     live = measured.filter("not base_failed")
     per = live.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(f, F.lit(size)).alias(f) for f in RULES])
@@ -67,11 +68,13 @@ def thresholds(measured: DataFrame, strata: list[str], size: int = 1024, least:
     wide = per.groupBy(strata[0]).agg(*[F.kll_merge_agg_double(f).alias(f"_w_{f}") for f in RULES])
     both = per.alias("p").join(wide.alias("w"), F.col(f"p.{strata[0]}").eqNullSafe(F.col(f"w.{strata[0]}")))
     out = []
-    for f, (fixed, side) in RULES.items():
-        sketch = F.when(F.col("_n") >= least, F.col(f)).otherwise(F.col(f"_w_{f}"))
+    for f, side in RULES.items():
+        wide_f = F.col(f"_w_{f}")
+        sketch = F.when(F.col("_n") >= least, F.col(f)).otherwise(wide_f)
         low, high = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
         fence = high + width * (high - low) if side > 0 else low - width * (high - low)
-        out.append((F.greatest if side > 0 else F.least)(fence, F.lit(fixed)).alias(f"limit_{f}"))
+        tail = F.kll_sketch_get_quantile_double(wide_f, F.lit(0.99 if side > 0 else 0.01))
+        out.append(F.when(high > low, fence).otherwise(tail).alias(f"limit_{f}"))
     return both.select(*[F.col(f"p.{s}") for s in strata], *out)
 
 
@@ -94,7 +97,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     limits = cut(thresholds(measured, list(names.values())))
     judged = measured.join(limits, list(names.values()), "left")
     beyond = F.lit(False)
-    for f, (_, side) in RULES.items():
+    for f, side in RULES.items():
         v, limit = F.col(f), F.col(f"limit_{f}")
         beyond = beyond | F.coalesce(v > limit if side > 0 else v < limit, F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))

@@ -119,13 +119,15 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
   n_dup_lines / greatest(n_lines, 1) AS du, word_chars / greatest(n_words, 1) AS le FROM base),
 q AS (SELECT lang, source, count(*) AS n, quantile_disc(sy, [0.25, 0.75]) AS sy, quantile_disc(du, [0.25, 0.75]) AS du, quantile_disc(le, [0.25, 0.75]) AS le
   FROM f WHERE NOT base_failed GROUP BY lang, source),
-ql AS (SELECT lang, quantile_disc(sy, [0.25, 0.75]) AS sy, quantile_disc(du, [0.25, 0.75]) AS du, quantile_disc(le, [0.25, 0.75]) AS le
+ql AS (SELECT lang, quantile_disc(sy, [0.25, 0.75, 0.99]) AS sy, quantile_disc(du, [0.25, 0.75, 0.99]) AS du, quantile_disc(le, [0.25, 0.75, 0.99, 0.01]) AS le
   FROM f WHERE NOT base_failed GROUP BY lang),
-lim AS (SELECT q.lang, source, CASE WHEN n >= 30 THEN q.sy ELSE ql.sy END AS sy, CASE WHEN n >= 30 THEN q.du ELSE ql.du END AS du,
-  CASE WHEN n >= 30 THEN q.le ELSE ql.le END AS le FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang)
+lim AS (SELECT q.lang, source, CASE WHEN n >= 30 THEN q.sy ELSE ql.sy[1:2] END AS sy, CASE WHEN n >= 30 THEN q.du ELSE ql.du[1:2] END AS du,
+  CASE WHEN n >= 30 THEN q.le ELSE ql.le[1:2] END AS le, ql.sy[3] AS sy9, ql.du[3] AS du9, ql.le[3] AS le9, ql.le[4] AS le1 FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(f.sy > greatest(lim.sy[2] + 3 * (lim.sy[2] - lim.sy[1]), 0.10) OR f.du > greatest(lim.du[2] + 3 * (lim.du[2] - lim.du[1]), 0.30)
-  OR f.le > greatest(lim.le[2] + 3 * (lim.le[2] - lim.le[1]), 15.0) OR f.le < least(lim.le[1] - 3 * (lim.le[2] - lim.le[1]), 2.0), false) AS kept
+  NOT base_failed AND NOT coalesce(f.sy > CASE WHEN lim.sy[2] > lim.sy[1] THEN lim.sy[2] + 3 * (lim.sy[2] - lim.sy[1]) ELSE sy9 END
+  OR f.du > CASE WHEN lim.du[2] > lim.du[1] THEN lim.du[2] + 3 * (lim.du[2] - lim.du[1]) ELSE du9 END
+  OR f.le > CASE WHEN lim.le[2] > lim.le[1] THEN lim.le[2] + 3 * (lim.le[2] - lim.le[1]) ELSE le9 END
+  OR f.le < CASE WHEN lim.le[2] > lim.le[1] THEN lim.le[1] - 3 * (lim.le[2] - lim.le[1]) ELSE le1 END, false) AS kept
 FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source"""
 
 
@@ -174,7 +176,7 @@ PROBE = r"\### Assistant: </turn> ok"  # fixed value: a text that looks like con
 
 OP8_SQL = r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations
   UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(n)),
-f AS (SELECT *, replace(replace(replace(x, '\', '\\'), '<|', '<\|'), '|>', '|\>') AS y FROM t)
+f AS (SELECT *, replace(replace(x, '\', '\s'), '|', '\p') AS y FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn)) AS turns_sha256,
   coalesce(sum(length(x)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(x, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
