@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import bigcount as B
 from ..functions.lists import as_items, explode_entities
-from ..functions.scratch import cut
+from ..functions.scratch import cut, discard
 from .graph import largest_component, triangles
 
 
@@ -113,22 +116,93 @@ def _distinctive(df: DataFrame, text: str, freq: DataFrame, keep: list[str], sha
     return listed.select(*keep, F.explode(F.transform(first, lambda x: x["w"])).alias("word"))
 
 
+def _joined(words: Column) -> Column:
+    """Letters of some words joined by blanks."""
+    return F.aggregate(words, F.lit(0), lambda acc, w: acc + F.length(w)) + F.greatest(F.size(words) - 1, F.lit(0))
+
+
+class _Grams:
+    """Letter groups that two texts must have in common to reach a score letter by letter.
+
+    A score compares texts whose words are ordered in some way.  With a blank before and behind every word, the
+    pairs of neighbouring letters are the same in any order.  If two texts of ``m`` and ``n`` letters (blanks at
+    both ends not counted) have a common subsequence of ``l``, a letter outside it spoils two pairs of its own text
+    and one of the other at most, so ``3 (l + 2) - (m + n + 4) - 1`` pairs are common; a score of ``t`` needs
+    ``l >= t (m + n) / 2``, and no more than ``(2 - t) / t`` times the letters of the other text.  Up to two thirds
+    that says nothing, and single letters (``l + 2`` in common) take the place of pairs.
+    """
+
+    def __init__(self, t: float):
+        self.t, self.size = t, 2 if 1.5 * t > 1.01 else 1
+        self.wide = (2 - t) / t * 1.0001
+
+    def listed(self, text: Column) -> Column:
+        """The groups of a text as an array; equal ones are numbered."""
+        padded = F.array(F.concat(F.lit(" "), F.array_join(F.array_distinct(F.split(text, " ")), " "), F.lit(" ")))
+        groups = F.transform(padded, lambda p: F.array_sort(F.transform(F.sequence(F.lit(1), F.length(p) - (self.size - 1)), lambda i: p.substr(i, F.lit(self.size)))))
+        return F.transform(groups, lambda g: F.transform(g, lambda x, i: F.concat(x, (i - F.array_position(g, x)).cast("string"))))[0]
+
+    def needed(self, letters: Column) -> Column:
+        """Groups in common with any text that reaches the score, at least."""
+        both = letters * (2 / (2 - self.t))
+        return F.ceil(both * (1.5 * self.t - 1) + 1 - 1e-6) if self.size == 2 else F.ceil(both * (self.t / 2) + 2 - 1e-6)
+
+    def longest(self, common: Column, m: Column, n: Column) -> Column:
+        """The longest common subsequence that so many common groups allow."""
+        most = F.floor((common + m + n + 5) / 3) - 2 if self.size == 2 else common - 2
+        return F.greatest(F.least(most, m, n), F.lit(0))
+
+    def keys(self, texts: DataFrame, freq: DataFrame, name: str) -> DataFrame:
+        """``(name, m, token)``: the rarest groups of every text, as many as cannot all be missed."""
+        rows = texts.select(name, F.explode(self.listed(F.col("text"))).alias("token"))
+        listed = rows.join(freq, "token", "left").groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("token").alias("token")))).alias("_l"))
+        m = F.size("_l") - (1 if self.size == 2 else 2)
+        listed = listed.select(name, m.alias("m"), "_l")
+        prefix = F.greatest(F.size("_l") - self.needed(F.col("m")) + 1, F.lit(1)).cast("int")
+        return listed.select(name, "m", F.explode(F.slice("_l", F.lit(1), prefix)).alias("_k")).select(name, "m", F.col("_k.token").alias("token"))
+
+    def candidates(self, texts: DataFrame, names: DataFrame) -> DataFrame:
+        """Distinct ``(tid, nid)`` of ``texts (tid, text)`` and ``names (nid, text)`` that may reach the score.
+
+        Lengths are part of the key: texts whose lengths allow the score lie in neighbouring classes.
+        """
+        freq = names.select(F.explode(self.listed(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+        place = F.floor(F.log(F.greatest(F.col("m"), F.lit(1))) / math.log(self.wide)).cast("int")
+        left = self.keys(texts, freq, "tid").withColumn("_b", place)
+        right = self.keys(names, freq, "nid").withColumn("_b", F.explode(F.array(place - 1, place, place + 1))).withColumnRenamed("m", "n")
+        fits = (F.col("m") <= F.col("n") * self.wide) & (F.col("n") <= F.col("m") * self.wide)
+        return left.join(right, ["token", "_b"]).filter(fits).select("tid", "nid").distinct()
+
+    def bound(self, a: Column, b: Column) -> Column:
+        """What the score of two texts cannot exceed, from shared words and common groups."""
+        x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+        m, n, s = _joined(x), _joined(y), _joined(F.array_intersect(x, y))
+        common = F.size(F.array_intersect(self.listed(a), self.listed(b)))
+        return F.greatest(200 * s / (s + F.least(m, n)), 200 * self.longest(common, m, n) / (m + n))
+
+
 def fuzzy_citation_graph(works: DataFrame, threshold: int = 80, refs: str = "references") -> DataFrame:
     """``(citing, cited, score)`` of references matched to titles of the collection.
 
     Each reference is tried as its guessed title, then as a whole; an equal title wins, else the best
     token-set score of at least ``threshold`` (ties: smallest id).  Equal titles are an equi join.
-    For the rest, only pairs are scored that share a distinctive word: a pair reaches the threshold by
-    shared words only if they make up at least t / (2 - t) of the letters of one side, so the rarest
-    words beyond that share are the join keys and common words never are.
+    For the rest, pairs are scored that can reach the threshold, in one of two ways:
+
+    - by shared words: then these make up at least t / (2 - t) of the letters of one side, so the rarest
+      words beyond that share are the join keys and common words never are;
+    - letter by letter (misspelt titles, word forms): then the sides have a number of letter pairs in
+      common that follows from the threshold, so all but that number of their pairs, the rarest, are the keys.
+
+    No pair that reaches the threshold is missed.  Pairs are bounded in columns before a score is computed.
     """
     t = (threshold - 0.5) / 100  # scores are rounded
     share = t / (2 - t)
+    grams = _Grams(t)
     titles = works.select(F.col("doc_id").alias("cited"), normalise(F.col("title")).alias("nt")).filter("nt <> ''")
     # of works of one title the two smallest ids: a work that bears the title itself cites the other one
     titles = titles.withColumn("_r", F.row_number().over(Window.partitionBy("nt").orderBy("cited"))).filter("_r <= 2")
     titles = cut(titles.select("nt", "cited"))
-    names = titles.select("nt").distinct()
+    names = cut(titles.select("nt").distinct().select(F.monotonically_increasing_id().alias("nid"), "nt"))
     raw = works.select("doc_id", F.posexplode(as_items(works, refs)).alias("pos", "ref"))
     texts = F.array(
         F.struct(F.lit(0).alias("try"), normalise(title_guess(F.col("ref"))).alias("text")),
@@ -139,14 +213,16 @@ def fuzzy_citation_graph(works: DataFrame, threshold: int = 80, refs: str = "ref
     exact = tries.join(titles.withColumnRenamed("nt", "text"), "text").filter("cited <> doc_id").select("doc_id", "pos", "try", "cited", F.lit(1).alias("exact"), F.lit(100).alias("score"))
     solved = exact.filter("try = 0").select("doc_id", "pos").distinct()
     open_tries = tries.join(solved, ["doc_id", "pos"], "left_anti")
-    distinct_texts = cut(open_tries.select("text").distinct())
+    distinct_texts = cut(open_tries.select("text").distinct().select(F.monotonically_increasing_id().alias("tid"), "text"))
     freq = names.select(F.explode(F.array_distinct(F.split("nt", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
-    t_keys = _distinctive(names, "nt", freq, ["nt"], share)
-    r_all = distinct_texts.select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    r_keys = _distinctive(distinct_texts, "text", freq, ["text"], share)
-    t_all = names.select("nt", F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
-    pairs = r_all.join(t_keys, "word").select("text", "nt").union(r_keys.join(t_all, "word").select("text", "nt")).distinct()
-    scored = pairs.withColumn("score", score_pairs("text", "nt")).filter(F.col("score") >= threshold)
+    t_keys = _distinctive(names, "nt", freq, ["nid"], share)
+    r_all = distinct_texts.select("tid", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    r_keys = _distinctive(distinct_texts, "text", freq, ["tid"], share)
+    t_all = names.select("nid", F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
+    pairs = r_all.join(t_keys, "word").select("tid", "nid").union(r_keys.join(t_all, "word").select("tid", "nid"))
+    pairs = pairs.union(grams.candidates(distinct_texts, names.withColumnRenamed("nt", "text"))).distinct()
+    likely = pairs.join(distinct_texts, "tid").join(names, "nid").filter(grams.bound(F.col("text"), F.col("nt")) >= threshold - 0.5 - 1e-6)
+    scored = cut(likely.select("text", "nt").withColumn("score", score_pairs("text", "nt")).filter(F.col("score") >= threshold))
     near = open_tries.join(scored, "text").join(titles, "nt").filter("cited <> doc_id").select("doc_id", "pos", "try", "cited", F.lit(0).alias("exact"), "score")
     order = F.struct("try", -F.col("exact"), -F.col("score"), "cited")
     best = exact.unionByName(near).groupBy("doc_id", "pos").agg(F.min_by(F.struct("cited", "score"), order).alias("b"))
@@ -233,96 +309,115 @@ def condense(links: DataFrame) -> DataFrame:
     return out.filter("citing <> cited").dropDuplicates()
 
 
-_COUNT = "decimal(38, 0)"
+class Cyclic(ValueError):
+    """The links hold a cycle."""
 
 
-def _whole(value: Column) -> Column:
-    """A count of 38 digits at most; more raise an error instead of losing digits."""
-    return F.when(value.isNull(), F.raise_error("a path count has more than 38 digits").cast(_COUNT)).otherwise(value.cast(_COUNT))
+def _ends(e: DataFrame) -> DataFrame:
+    """``(node, received, sent)``: distinct links that lead to a node and away from it."""
+    both = F.array(F.struct(F.col("citing").alias("n"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("cited").alias("n"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return e.select(F.explode(both).alias("x")).groupBy(F.col("x.n").alias("node")).agg(F.sum("x.i").alias("into"), F.sum("x.o").alias("out"))
 
 
-def _relax(nodes: DataFrame, links: DataFrame, src: str, dst: str, every: int = 3, max_rounds: int = 10_000) -> DataFrame:
-    """``(node, paths)``: number of paths from nodes without predecessors, by repeated propagation.
+def _sweep(nodes: DataFrame, links: DataFrame, start: Column, value, merge) -> DataFrame:
+    """Carry values along the links of an acyclic graph: ``(side, node, value)``.
 
-    ``nodes`` is ``(node, start)``; the values are final after as many rounds as the longest path has links.
-    Counts are whole numbers of up to 38 digits; Spark raises beyond that.
+    ``nodes`` is ``(side, node, into)``, ``links`` is ``(side, a, b, ...)``.  Nodes that nothing leads to hold
+    ``start``.  Every round sends the values of the nodes that became known in the last one, once over each of
+    their links: ``value`` makes a link's value of the sender's.  What a node has received so far is merged
+    (``merge(rows, width)``, of counts of ``width`` limbs at most); it is known when all its links have sent.
+    So there are as many rounds as the longest path has links, and each link is used in one of them.
     """
-    nodes = nodes.select("node", F.col("start").cast(_COUNT).alias("start"))
-    state = cut(nodes.withColumnRenamed("start", "paths"))
-    for _ in range(0, max_rounds, every):
-        new = state
-        for _ in range(every):
-            got = links.join(new, links[src] == new["node"]).groupBy(F.col(dst).alias("node")).agg(F.sum("paths").alias("_p"))
-            new = nodes.join(got, "node", "left").select("node", _whole(F.col("start") + F.coalesce("_p", F.lit(0))).alias("paths"))
-        new = cut(new.join(state.withColumnRenamed("paths", "_old"), "node"))
-        moved = new.filter("paths <> _old").limit(1).count()
-        state = new.drop("_old")
-        if not moved:
-            return state
-    raise RuntimeError(f"path counts are not settled after {max_rounds} rounds")
+    known = cut(nodes.filter("into = 0").select("side", "node", F.col("into").alias("got"), "into", start.alias("value")))
+    parts, waiting, width = [known.select("side", "node", "value")], None, 1
+    scratch = []
+    while True:
+        sent = links.join(known.select("side", F.col("node").alias("a"), "value"), ["side", "a"]).select("side", F.col("b").alias("node"), F.lit(1).cast("bigint").alias("got"), value.alias("value"))
+        rows = sent if waiting is None else sent.unionByName(waiting.select("side", "node", "got", "value"))
+        step = cut(merge(rows, width).join(nodes.select("side", "node", "into"), ["side", "node"]))
+        full = F.col("got") == F.col("into")
+        row = step.agg(F.count_if(full).alias("k"), F.count_if(~full).alias("w"), F.max(F.size(_limbs(step))).alias("m")).first()
+        scratch.append(step)
+        if not row["k"]:
+            if row["w"]:
+                raise Cyclic("citations lead back to where they came from")
+            break
+        width = row["m"] + 1
+        known, waiting = step.filter(full), step.filter(~full)
+        parts.append(known.select("side", "node", "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = cut(out)
+    discard(*scratch)
+    return out
+
+
+def _limbs(step: DataFrame) -> Column:
+    return F.col("value") if step.schema["value"].dataType.typeName() == "array" else F.col("value.k.l")
+
+
+def _sum_counts(rows: DataFrame, width: int) -> DataFrame:
+    got = rows.groupBy("side", "node").agg(F.sum("got").alias("got"), B.summed("value", width).alias("value"))
+    return got.select("side", "node", "got", B.settled(F.col("value")).alias("value"))
+
+
+def _best(rows: DataFrame, width: int) -> DataFrame:
+    return rows.groupBy("side", "node").agg(F.sum("got").alias("got"), F.min("value").alias("value"))
 
 
 def path_weights(links: DataFrame, method: str = "SPC") -> DataFrame:
-    """``(citing, cited, weight)`` of an acyclic graph.
+    """``(citing, cited, weight)`` of an acyclic graph (else ``Cyclic`` is raised).
 
     SPC is paths from the sources to the link times paths from it to the sinks; SPLC divides by the
-    number of all source-sink paths, SPNP by sources times sinks.
+    number of all source-sink paths, SPNP by sources times sinks.  Paths are counted exactly, however many
+    there are; a weight beyond the range of a double is infinite.
     """
     return _path_counts(links, method).select("citing", "cited", "weight")
 
 
 def _path_counts(links: DataFrame, method: str) -> DataFrame:
-    """``(citing, cited, weight, paths)``: ``paths`` is the exact number of paths over the link."""
-    e = cut(links.select("citing", "cited"))
-    ends = e.select(F.explode(F.array(F.struct(F.col("citing").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("cited").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-    nodes = cut(ends.groupBy(F.col("x.n").alias("node")).agg(
-        (F.max("x.i") == 0).cast("int").alias("is_source"), (F.max("x.o") == 0).cast("int").alias("is_sink")
-    ))
-    fwd = _relax(nodes.select("node", F.col("is_source").alias("start")), e, "citing", "cited")
-    bwd = _relax(nodes.select("node", F.col("is_sink").alias("start")), e, "cited", "citing")
-    w = e.join(fwd.select(F.col("node").alias("citing"), F.col("paths").alias("_f")), "citing").join(
-        bwd.select(F.col("node").alias("cited"), F.col("paths").alias("_b")), "cited"
-    )
-    w = w.withColumn("paths", _whole(F.col("_f") * F.col("_b")))
-    spc = F.col("paths").cast("double")
+    """``(citing, cited, weight, limbs)``: ``limbs`` is the exact number of paths over the link."""
+    e = cut(links.select("citing", "cited").dropDuplicates())
+    ends = cut(_ends(e))
+    # one sweep for both directions: side 0 counts the ways from the sources, side 1 those from the sinks
+    nodes = ends.select(F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("into").alias("i")), F.struct(F.lit(1).alias("s"), F.col("out").alias("i")))).alias("x"), "node").select("x.s", "node", F.col("x.i").alias("into")).withColumnRenamed("s", "side")
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("citing").alias("a"), F.col("cited").alias("b")), F.struct(F.lit(1).alias("side"), F.col("cited").alias("a"), F.col("citing").alias("b")))
+    ways = _sweep(cut(nodes), cut(e.select(F.explode(both).alias("x")).select("x.*")), B.number(1), F.col("value"), _sum_counts)
+    fwd = ways.filter("side = 0").select(F.col("node").alias("citing"), F.col("value").alias("_f"))
+    bwd = ways.filter("side = 1").select(F.col("node").alias("cited"), F.col("value").alias("_b"))
+    w = e.join(fwd, "citing").join(bwd, "cited").select("citing", "cited", B.multiplied(F.col("_f"), F.col("_b")).alias("limbs"))
     if method == "SPC":
-        return w.select("citing", "cited", spc.alias("weight"), "paths")
+        return w.select("citing", "cited", B.as_double(F.col("limbs")).alias("weight"), "limbs")
+    sinks = ends.filter("out = 0").select("node")
     if method == "SPLC":
-        base = nodes.filter("is_sink = 1").join(fwd, "node").agg(F.sum("paths").cast("double")).scalar()
+        reach = ways.filter("side = 0").join(sinks, "node", "left_semi")
+        width = reach.agg(F.max(F.size("value"))).first()[0] or 1
+        base = reach.agg(B.summed("value", width).alias("t")).select(B.settled(F.col("t")).alias("t")).scalar()
     else:
-        base = nodes.agg((F.sum("is_source") * F.sum("is_sink")).cast("double")).scalar()
-    return w.withColumn("_d", base).select("citing", "cited", F.when(F.col("_d") > 0, spc / F.col("_d")).otherwise(0.0).alias("weight"), "paths")
+        base = ends.agg((F.count_if(F.col("into") == 0) * F.count_if(F.col("out") == 0)).alias("t")).select(B.number(F.col("t")).alias("t")).scalar()
+    return w.withColumn("_t", base).select("citing", "cited", B.ratio(F.col("limbs"), F.col("_t")).alias("weight"), "limbs")
 
 
-def main_path(links: DataFrame, method: str = "SPC", max_rounds: int = 10_000, every: int = 3) -> tuple[DataFrame, DataFrame]:
+def main_path(links: DataFrame, method: str = "SPC") -> tuple[DataFrame, DataFrame]:
     """``(edges, path)``: link weights with a main-path flag, and ``(position, node)`` of the heaviest source-sink path.
 
     Cycles are condensed first.  Ties go to the smaller id.  Paths are compared by their exact counts (the
     methods differ by a factor that is the same for all links); the way back doubles its length per round.
     """
-    weights = cut(_path_counts(condense(links), method))
-    cited = weights.select(F.col("cited").alias("node")).distinct()
-    names = cut(weights.select(F.explode(F.array("citing", "cited")).alias("node")).distinct())
-    sources = names.join(cited, "node", "left_anti")
+    try:
+        weights = cut(_path_counts(links.filter("citing <> cited"), method))
+    except Cyclic:
+        weights = cut(_path_counts(condense(links), method))
+    ends = cut(_ends(weights))
     kind = weights.schema["citing"].dataType.simpleString()
-    start = cut(sources.select("node", F.lit(0).cast(_COUNT).alias("best"), F.lit(None).cast(kind).alias("prev")))
-    state = start
-    for _ in range(0, max_rounds, every):
-        new = state
-        for _ in range(every):
-            step = weights.join(new, weights["citing"] == new["node"]).groupBy(F.col("cited").alias("node")).agg(
-                F.min(F.struct((-_whole(F.col("best") + F.col("paths"))).alias("n"), F.col("citing").alias("p"))).alias("b")
-            ).select("node", (-F.col("b.n")).cast(_COUNT).alias("best"), F.col("b.p").alias("prev"))
-            new = start.unionByName(step)
-        new = cut(new)
-        moved = new.join(state.select("node", F.col("best").alias("_o")), "node", "left").filter("_o is null or best <> _o").limit(1).count()
-        state = new
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"the main path is not settled after {max_rounds} rounds")
-    sinks = names.join(weights.select(F.col("citing").alias("node")).distinct(), "node", "left_anti")
-    last = state.join(sinks, "node", "left_semi").orderBy(F.desc("best"), "node").limit(1)
+    nothing = F.struct(B.largest_first(F.array().cast(B.TYPE)).alias("k"), F.lit(None).cast(kind).alias("p"))
+    # the sort key of the sum so far (smallest: the heaviest way), then the node before
+    onward = F.struct(B.largest_first(B.added(B.from_key(F.col("value.k")), F.col("limbs"))).alias("k"), F.col("a").alias("p"))
+    one = F.lit(0).alias("side")
+    state = _sweep(cut(ends.select(one, "node", "into")), cut(weights.select(one, F.col("citing").alias("a"), F.col("cited").alias("b"), "limbs")), nothing, onward, _best)
+    state = cut(state.select("node", F.col("value.k").alias("key"), F.col("value.p").alias("prev")))
+    last = state.join(ends.filter("out = 0").select("node"), "node", "left_semi").orderBy("key", "node").limit(1)
     path = cut(last.select("node", F.lit(0).alias("back")))
     jump, length = cut(state.filter("prev is not null").select("node", "prev")), 1  # ``length`` links back
     while True:

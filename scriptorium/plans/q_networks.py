@@ -17,8 +17,7 @@ from .registry import query, rounded
 NET = with_sql(
     WORKS, long_sql("author_keywords"), "n AS (SELECT entity AS node, count(*) AS occurrences FROM long GROUP BY entity HAVING count(*) >= 2 ORDER BY count(*) DESC, entity LIMIT 40)",
     "e AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM long a JOIN long b ON a.doc_id = b.doc_id AND a.entity < b.entity WHERE a.entity IN (SELECT node FROM n) AND b.entity IN (SELECT node FROM n) GROUP BY ALL)",
-    # links above the mean weight, so that the network has gaps
-    "x AS (SELECT * FROM e WHERE weight > (SELECT avg(weight) FROM e))", "b AS (SELECT src, dst, weight FROM x UNION ALL SELECT dst, src, weight FROM x)",
+    "x AS (FROM e)", "b AS (SELECT src, dst, weight FROM x UNION ALL SELECT dst, src, weight FROM x)",
 )
 
 
@@ -27,12 +26,10 @@ def network(spark, d):
     return N.cooccurrence_network(w, "author_keywords", top_n=40)
 
 
-def sparse(spark, d):
-    """The network with the links above the mean weight."""
+def written(spark, d):
+    """The network as written tables, for measures that read it many times."""
     nodes, edges = network(spark, d)
-    nodes, edges = cut(nodes), cut(edges)
-    mean = edges.agg(F.avg("weight")).scalar()
-    return nodes, cut(edges.withColumn("_m", mean).filter("weight > _m").drop("_m"))
+    return cut(nodes), cut(edges)
 
 
 @query("I1_network_edges", NET + "SELECT * FROM e")
@@ -127,7 +124,7 @@ def _(spark, d):
 
 @query("I2_degrees", NET + "SELECT src AS node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted_degree FROM b GROUP BY src")
 def _(spark, d):
-    return N.degrees(sparse(spark, d)[1])
+    return N.degrees(written(spark, d)[1])
 
 
 @query(
@@ -142,7 +139,7 @@ def _(spark, d):
     SELECT node, round(v, 6) AS pagerank FROM r WHERE i = 80""",
 )
 def _(spark, d):
-    return rounded(N.pagerank(*sparse(spark, d)))
+    return rounded(N.pagerank(*written(spark, d)))
 
 
 @query(
@@ -153,7 +150,7 @@ def _(spark, d):
     SELECT node, round(v, 6) AS eigenvector FROM r WHERE i = 150""",
 )
 def _(spark, d):
-    return rounded(N.eigenvector(*sparse(spark, d)))
+    return rounded(N.eigenvector(*written(spark, d)))
 
 
 @query(
@@ -163,12 +160,12 @@ def _(spark, d):
     SELECT s AS node, round(CASE WHEN t > 0 THEN k / t * (k / ((SELECT count(*) FROM n) - 1)) ELSE 0 END, 6) AS closeness FROM q""",
 )
 def _(spark, d):
-    return rounded(N.path_centralities(*sparse(spark, d)).select("node", "closeness"))
+    return rounded(N.path_centralities(*written(spark, d)).select("node", "closeness"))
 
 
 @query("I5_betweenness")
 def _(spark, d):
-    return N.path_centralities(*sparse(spark, d)).select("node", "betweenness")
+    return N.path_centralities(*written(spark, d)).select("node", "betweenness")
 
 
 @query(
@@ -179,7 +176,7 @@ def _(spark, d):
     SELECT n.node, round(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM n LEFT JOIN g USING (node) LEFT JOIN t USING (node)""",
 )
 def _(spark, d):
-    return rounded(N.clustering(*sparse(spark, d)))
+    return rounded(N.clustering(*written(spark, d)))
 
 
 @query(
@@ -196,12 +193,12 @@ def _(spark, d):
 
 @query("I7_communities")
 def _(spark, d):
-    return N.communities(*sparse(spark, d))
+    return N.communities(*written(spark, d))
 
 
 @query("I8_node_table")
 def _(spark, d):
-    return N.node_table(*sparse(spark, d))
+    return N.node_table(*written(spark, d))
 
 
 @query(
@@ -232,7 +229,7 @@ q AS (SELECT *, CASE WHEN centrality >= (SELECT median(centrality) FROM z) THEN
 
 def _map(spark, d):
     """Clusters given by the first word of the keyword, so that SQL can follow."""
-    nodes, edges = sparse(spark, d)
+    nodes, edges = written(spark, d)
     return N.thematic_map(nodes, edges, nodes.select("node", F.split("node", " ")[0].alias("community")))
 
 
@@ -243,7 +240,7 @@ def _(spark, d):
 
 @query("I10_thematic_map_communities")
 def _(spark, d):
-    nodes, edges = sparse(spark, d)
+    nodes, edges = written(spark, d)
     return N.thematic_map(nodes, edges, N.communities(nodes, edges))
 
 
@@ -299,13 +296,25 @@ def _(spark, d):
 
 @query(
     "I13_fuzzy_citation_graph",
-    with_sql(CITES) + "SELECT citing, cited, CAST(100 AS INTEGER) AS score FROM cites",
+    # codes of 12 letters less one each are equal: 18 of 19 letters in common (95); a code less one is the other: 18 of 18 and 19 (97)
+    with_sql(
+        CITES, WORKS, "refs AS (SELECT citing, cited, substr(md5(CAST(cited AS VARCHAR)), 1, 12) AS c, md5(citing || '-' || cited) AS h FROM cites)",
+        "bad AS (SELECT citing, CASE substr(h, 1, 1) WHEN '0' THEN substr(c, 1, p) || 'x' || substr(c, p + 2) ELSE substr(c, 1, p) || substr(c, p + 2) END AS c FROM (SELECT *, (instr('0123456789abcdef', substr(h, 2, 1)) - 1) % 12 AS p FROM refs WHERE substr(h, 1, 1) IN ('0', '1')))",
+        "codes AS (SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS c FROM works)", "less AS (SELECT doc_id, substr(c, 1, i - 1) || substr(c, i + 1) AS x FROM codes, range(1, 13) AS r(i))",
+        "near AS (SELECT citing, c, doc_id, 95 AS score FROM (SELECT citing, c, substr(c, 1, i - 1) || substr(c, i + 1) AS x FROM bad, range(1, 13) AS r(i) WHERE length(c) = 12) JOIN less USING (x) UNION SELECT citing, c, doc_id, 97 FROM bad JOIN less ON c = x)",
+        "best AS (SELECT citing, arg_min(doc_id, (-score, doc_id)) AS cited, max(score) AS score FROM near WHERE doc_id <> citing GROUP BY citing, c)",
+    )
+    + "SELECT citing, cited, CAST(max(score) AS INTEGER) AS score FROM (SELECT citing, cited, 100 AS score FROM refs WHERE substr(h, 1, 1) NOT IN ('0', '1') UNION ALL FROM best) GROUP BY citing, cited",
 )
 def _(spark, d):
-    """Titles share a common word; references put other words around a whole title (score 100)."""
+    """Titles share a common word; references put other words around a whole title (score 100), or misspell its only other word."""
+    cites = citations(spark, d)
     code = lambda c: F.substring(F.md5(F.col(c).cast("string")), 1, 12)
-    ref = F.concat(F.lit("Customer, Report "), code("cited"), F.lit(" extended, Proceedings, pp. 1"))
-    refs = citations(spark, d).groupBy(F.col("citing").alias("doc_id")).agg(F.collect_list(ref).alias("references"))
+    h = F.md5(F.concat_ws("-", "citing", "cited"))
+    cites = cites.withColumns({"_c": code("cited"), "_h": h}).withColumn("_p", F.expr("(instr('0123456789abcdef', substr(_h, 2, 1)) - 1) % 12"))
+    bad = F.concat(F.expr("substr(_c, 1, _p)"), F.when(F.col("_h").startswith("0"), "x").otherwise(""), F.expr("substr(_c, _p + 2)"))
+    text = F.when(F.substring("_h", 1, 1).isin("0", "1"), bad).otherwise(F.concat("_c", F.lit(" extended")))
+    refs = cites.groupBy(F.col("citing").alias("doc_id")).agg(F.collect_list(F.concat(F.lit("Customer, Report "), text, F.lit(", Proceedings, pp. 1"))).alias("references"))
     w = scalars(spark, d).withColumn("title", F.concat(F.lit("Report: "), code("doc_id"))).join(refs, "doc_id", "left")
     return C.fuzzy_citation_graph(w.withColumn("references", F.coalesce("references", F.array().cast("array<string>"))), threshold=90)
 
@@ -320,45 +329,55 @@ def _(spark, d):
     return C.citation_nodes(scalars(spark, d), citations(spark, d))
 
 
-def subset_links(spark, d):
-    """Links among the 500 most cited works."""
-    ids = cut(S.top_cited_subset(scalars(spark, d), n=500).select("doc_id"))
-    links = citations(spark, d).join(ids.withColumnRenamed("doc_id", "citing"), "citing", "left_semi")
-    return links.join(ids.withColumnRenamed("doc_id", "cited"), "cited", "left_semi").select("citing", "cited")
+def earlier_links(spark, d):
+    """Every order cites, for each of its parts, the last order of the part in the year before that had one."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = li.select("l_partkey", F.col("l_orderkey").alias("citing"), F.year("o_orderdate").alias("y"), "o_orderdate")
+    last = li.groupBy("l_partkey", "y").agg(F.max_by("citing", F.struct("o_orderdate", "citing")).alias("last"))
+    before = last.select("l_partkey", "y", F.lag("last").over(Window.partitionBy("l_partkey").orderBy("y")).alias("cited"))
+    return li.join(before.filter("cited is not null"), ["l_partkey", "y"]).select("citing", "cited").distinct()
 
 
-SUB = with_sql(
-    WORKS, CITES, "s AS (SELECT doc_id FROM works ORDER BY cited_by DESC, doc_id LIMIT 500)", "g AS (SELECT citing, cited FROM cites WHERE citing IN (FROM s) AND cited IN (FROM s))",
+EARLIER = with_sql(
+    "li AS (SELECT l_partkey AS p, l_orderkey AS citing, year(o_orderdate) AS y, o_orderdate AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "last AS (SELECT p, y, arg_max(citing, (t, citing)) AS last FROM li GROUP BY p, y)", "before AS (SELECT p, y, lag(last) OVER (PARTITION BY p ORDER BY y) AS cited FROM last)",
+    "g AS (SELECT DISTINCT citing, cited FROM li JOIN before USING (p, y) WHERE cited IS NOT NULL)",
     "nodes AS (SELECT citing AS n FROM g UNION SELECT cited FROM g)", "src AS (SELECT n FROM nodes WHERE n NOT IN (SELECT cited FROM g))", "snk AS (SELECT n FROM nodes WHERE n NOT IN (SELECT citing FROM g))",
+    # ways from a source and to a sink, by their length
+    "f AS (SELECT n, 0 AS i, 1::HUGEINT AS k FROM src UNION ALL SELECT g.cited, f.i + 1, sum(f.k)::HUGEINT FROM f JOIN g ON g.citing = f.n GROUP BY g.cited, f.i)",
+    "b AS (SELECT n, 0 AS i, 1::HUGEINT AS k FROM snk UNION ALL SELECT g.citing, b.i + 1, sum(b.k)::HUGEINT FROM b JOIN g ON g.cited = b.n GROUP BY g.citing, b.i)",
+    "fc AS (SELECT n, sum(k)::HUGEINT AS k FROM f GROUP BY n)", "bc AS (SELECT n, sum(k)::HUGEINT AS k FROM b GROUP BY n)", "w AS (SELECT citing, cited, fc.k * bc.k AS k FROM g JOIN fc ON fc.n = citing JOIN bc ON bc.n = cited)",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
-# one row per path from a source (to a sink), counted per end node
-SPC = SUB.rstrip() + """, f AS (SELECT n, 0 AS i FROM src UNION ALL SELECT g.cited, f.i + 1 FROM f JOIN g ON g.citing = f.n), b AS (SELECT n, 0 AS i FROM snk UNION ALL SELECT g.citing, b.i + 1 FROM b JOIN g ON g.cited = b.n),
-fc AS (SELECT n, count(*) AS k FROM f GROUP BY n), bc AS (SELECT n, count(*) AS k FROM b GROUP BY n)
+# the heaviest way to every node, and back from the best sink by the smallest of the nodes that lead to it
+MAIN = EARLIER.rstrip() + """, h AS (SELECT n, 0 AS i, 0::HUGEINT AS k FROM src UNION ALL SELECT w.cited, h.i + 1, max(h.k + w.k) FROM h JOIN w ON w.citing = h.n GROUP BY w.cited, h.i),
+hm AS (SELECT n, max(k) AS k FROM h GROUP BY n), prev AS (SELECT w.cited AS n, min(w.citing) AS p FROM w JOIN hm a ON a.n = w.citing JOIN hm z ON z.n = w.cited WHERE a.k + w.k = z.k GROUP BY w.cited),
+way AS (SELECT n, 0 AS back FROM (SELECT n FROM hm WHERE n IN (FROM snk) ORDER BY k DESC, n LIMIT 1) UNION ALL SELECT p, back + 1 FROM way JOIN prev USING (n))
 """
 
 
-@query("I15_path_weights", SPC + "SELECT citing, cited, CAST(fc.k * bc.k AS DOUBLE) AS weight FROM g JOIN fc ON fc.n = citing JOIN bc ON bc.n = cited")
+@query("I15_path_weights", EARLIER + "SELECT citing, cited, CAST(k AS DOUBLE) AS weight FROM w")
 def _(spark, d):
-    return C.path_weights(subset_links(spark, d), "SPC")
+    return C.path_weights(earlier_links(spark, d), "SPC")
 
 
-@query(
-    "I15_path_weights_relative",
-    SPC + "SELECT citing, cited, round(fc.k * bc.k / (SELECT sum(k) FROM fc WHERE n IN (FROM snk)), 6) AS weight FROM g JOIN fc ON fc.n = citing JOIN bc ON bc.n = cited",
-)
+@query("I15_path_weights_relative", EARLIER + "SELECT citing, cited, round(k::DOUBLE / (SELECT sum(k) FROM fc WHERE n IN (FROM snk))::DOUBLE, 12) AS weight FROM w")
 def _(spark, d):
-    return rounded(C.path_weights(subset_links(spark, d), "SPLC"))
+    return rounded(C.path_weights(earlier_links(spark, d), "SPLC"), 12)
 
 
-@query("I15_main_path")
+@query("I15_main_path", MAIN + "SELECT CAST(max(back) OVER () - back AS INTEGER) AS position, n AS node FROM way")
 def _(spark, d):
-    return C.main_path(subset_links(spark, d))[1]
+    return C.main_path(earlier_links(spark, d))[1]
 
 
-@query("I14_citation_edges")
+@query(
+    "I14_citation_edges",
+    MAIN + """SELECT citing, cited, round(k::DOUBLE / ((SELECT count(*) FROM src) * (SELECT count(*) FROM snk))::DOUBLE, 12) AS weight, CAST(a.n IS NOT NULL AS INTEGER) AS main_path
+    FROM w LEFT JOIN (SELECT n, lead(n) OVER (ORDER BY back DESC) AS m FROM way) a ON a.n = citing AND a.m = cited""",
+)
 def _(spark, d):
     """Edges with their weight and the main-path flag."""
-    return C.main_path(subset_links(spark, d), "SPNP")[0]
+    return rounded(C.main_path(earlier_links(spark, d), "SPNP")[0], 12)
 
 
 DIS = """t AS (SELECT a.citing AS c, a.cited AS f, b.cited AS r FROM cites a JOIN cites b ON b.citing = a.cited JOIN cites z ON z.citing = a.citing AND z.cited = b.cited),

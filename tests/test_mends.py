@@ -1,14 +1,17 @@
 """Faults that were found once: each has a test here."""
 
 import os
+import random
 import subprocess
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import bigcount as B
 from scriptorium.functions import scratch
 from scriptorium.functions.patterns import valid_pattern
+from scriptorium.functions.scratch import cut
 from scriptorium.operators import citation as C
 from scriptorium.operators import graph as N
 from scriptorium.operators import groups as G
@@ -31,9 +34,6 @@ def test_loops_raise_when_unsettled(spark):
     ):
         with pytest.raises(RuntimeError):
             call()
-    links = edges.select(F.col("dst").alias("citing"), F.col("src").alias("cited"))
-    with pytest.raises(RuntimeError):
-        C.main_path(links, max_rounds=6)
 
 
 def test_long_chain_is_one_component(spark):
@@ -42,14 +42,43 @@ def test_long_chain_is_one_component(spark):
 
 
 def test_path_counts_stay_exact(spark):
-    """65 layers of two nodes: 2^64 paths; one more link makes one way heavier by a single path."""
-    links = [(f"n{i:03d}{a}", f"n{i + 1:03d}{b}") for i in range(65) for a in "ab" for b in "ab"] + [("n000b", "n065b")]
-    df = spark.createDataFrame(links, "citing string, cited string")
-    exact = {(r.citing, r.cited): int(r.paths) for r in C._path_counts(df, "SPC").collect()}
-    assert exact["n000a", "n001a"] == 2**64 and exact["n000b", "n065b"] == 1
+    """18 layers of 150 nodes below 3 of two: more than 10^38 paths; one more link makes one way heavier by a single path."""
+    layers = [2] * 3 + [150] * 18
+    ends = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(layers, layers[1:]))], "i int, a int, b int")
+    name = lambda i, x: F.format_string("n%02d-%04d", i, x)
+    df = ends.select("i", "a", "b", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("x")).select("i", "x", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("y"))
+    df = df.select(name(F.col("i"), F.col("x")).alias("citing"), name(F.col("i") + 1, F.col("y")).alias("cited"))
+    df = cut(df.unionByName(spark.createDataFrame([("n00-0001", "n20-0149")], "citing string, cited string")))
+    total = 2**3 * 150**18
+    got = C._path_counts(df, "SPC").select("citing", "cited", "weight", B.text(F.col("limbs")).alias("paths"))
+    few = {(r.citing, r.cited): r for r in got.filter("citing like '%-0001' and (cited like '%-0000' or cited like 'n20%')").collect()}
+    assert total > 10**38 and int(few["n00-0001", "n01-0000"].paths) == total // 4 and int(few["n00-0001", "n20-0149"].paths) == 1
+    assert few["n00-0001", "n01-0000"].weight == pytest.approx(total // 4, rel=1e-15)
     edges, path = C.main_path(df)
     rows = sorted((r.position, r.node) for r in path.collect())
-    assert [p for p, _ in rows] == list(range(66)) and edges.filter("main_path = 1").count() == 65
+    assert rows == [(i, f"n{i:02}-0000") for i in range(21)] and edges.filter("main_path = 1").count() == 20
+
+
+def test_cycles_are_condensed(spark):
+    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "d"), ("d", "d")], "citing string, cited string")
+    with pytest.raises(C.Cyclic):
+        C.path_weights(df.filter("citing <> cited"))
+    edges, path = C.main_path(df)
+    assert [r.node for r in path.orderBy("position").collect()] == ["a", "b", "d"] and edges.count() == 3
+
+
+def test_whole_numbers_of_any_size(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(10 ** rng.choice([1, 6, 7, 18])), rng.randrange(10 ** rng.choice([1, 3, 12, 18]))) for _ in range(300)] + [(0, 0), (0, 5), (10**6, 10**6), (999_999, 1), (10**18 - 1, 10**18 - 1)]
+    df = spark.createDataFrame(rows, "x long, y long").select("x", "y", B.number(F.col("x")).alias("a"), B.number(F.col("y")).alias("b"))
+    square = B.multiplied(B.multiplied(F.col("a"), F.col("b")), F.col("a"))
+    out = df.select("x", "y", B.text(B.added(F.col("a"), F.col("b"))).alias("s"), B.text(square).alias("m"), B.as_double(square).alias("d"), B.ratio(square, F.col("b")).alias("r"), B.largest_first(F.col("a")).alias("k"))
+    for r in out.collect():
+        m = r.x * r.x * r.y
+        assert int(r.s) == r.x + r.y and int(r.m) == m and r.d == pytest.approx(m, rel=1e-15) and r.r == pytest.approx(m / r.y if r.y else 0.0, rel=1e-14)
+    assert [r.x for r in out.orderBy("k").collect()] == sorted((x for x, _ in rows), reverse=True)
+    total = df.agg(B.summed("a", 3).alias("t")).select(B.text(B.settled(F.col("t"))).alias("t")).first().t
+    assert int(total) == sum(x for x, _ in rows)
 
 
 def test_duplicate_titles_keep_their_links(spark):
