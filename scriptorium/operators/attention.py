@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import top
+from ..functions.quantiles import exact_percentiles
 
 # Sources of attention and their weights in the score.
 WEIGHTS = {
@@ -33,11 +34,12 @@ def attention_score(df: DataFrame) -> DataFrame:
 
 
 def attention_summary(scored: DataFrame) -> DataFrame:
-    """One row: works, with attention, rate, mean, median and largest score, total per source."""
+    """One row: works, with attention, rate, mean, median and largest score, total per source; the median is found first."""
+    (median,) = exact_percentiles(scored, "attention_score", [0.5])
     return scored.agg(
         F.count(F.lit(1)).alias("n_papers"), F.sum("has_attention").alias("n_with_attention"),
         (F.sum("has_attention") / F.count(F.lit(1))).alias("attention_rate"), F.avg("attention_score").alias("mean_score"),
-        F.percentile("attention_score", F.lit(0.5)).alias("median_score"), F.max("attention_score").alias("max_score"),
+        F.max(F.lit(median).cast("double")).alias("median_score"), F.max("attention_score").alias("max_score"),
         *[F.sum(c).cast("long").alias(f"total_{c}") for c in present(scored)],
     )
 

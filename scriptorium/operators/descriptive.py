@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import sample_kurtosis, sample_skewness
 from ..functions.ordering import top
+from ..functions.quantiles import exact_percentiles
 from .impact import core_indices, indices, thresholds
 from .trends import growth_statistics
 
@@ -41,18 +42,36 @@ def distinct_items(works: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def dataset_summary(works: DataFrame) -> DataFrame:
-    """Size, span, sources, distinct items, references and citation totals of a collection."""
+    """Size, span, sources, distinct items, references and citation totals of a collection, from one pass.
+
+    Items and citation counts are stacked as ``(field, item)`` and counted; what a row adds to the totals rides on
+    one more entry.  The second aggregate sees distinct entries only: the median is taken from the profile of
+    citation counts.
+    """
     fields = tuple(f for f in DISTINCT_FIELDS if f in works.columns)
-    c = F.coalesce(F.col("cited_by"), F.lit(0))
-    base = works.agg(
-        F.count(F.lit(1)).alias("docs"), F.min("year").alias("y0"), F.max("year").alias("y1"),
-        F.count_distinct("source").alias("sources"),
-        *([F.sum(F.size("references")).alias("refs")] if "references" in works.columns else []),
-        F.sum(c).alias("cites"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"),
-        F.max(c).alias("max"), F.count_if(c > 0).alias("cited"),
+    c = F.coalesce(F.col("cited_by"), F.lit(0)).cast("long")
+    refs = F.size("references").cast("long") if "references" in works.columns else F.lit(0).cast("long")
+    year = F.col("year").cast("long")
+
+    def entry(field: str, item: Column, number: Column | None = None) -> Column:
+        none = F.lit(None).cast("long")
+        return F.struct(F.lit(field).alias("field"), item.cast("string").alias("item"), (none if number is None else number).alias("k"), refs.alias("refs") if number is not None else none.alias("refs"), year.alias("y") if number is not None else none.alias("y"))
+
+    stacked = F.concat(
+        F.array(entry("", F.lit(""), c), entry("source", F.col("source"))),
+        *[F.transform(F.array_distinct(f), lambda x: entry(f, F.trim(x))) for f in fields],
+    )
+    counted = works.select(F.explode(stacked).alias("p")).select("p.*").filter("field = '' or (item is not null and item <> '' or field = 'source' and item is not null)")
+    counted = counted.groupBy("field", "item", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("refs").alias("refs"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    doc, n = F.col("field") == "", F.when(F.col("field") == "", F.col("n"))
+    total = F.coalesce(F.sum(n), F.lit(0))
+    base = counted.agg(
+        total.alias("docs"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count_if(F.col("field") == "source").alias("sources"),
+        F.sum("refs").alias("refs"), F.sum(n * F.col("k")).alias("cites"), (F.sum(n * F.col("k")) / F.sum(n)).alias("mean"),
+        F.percentile(F.when(doc, F.col("k")), F.lit(0.5), F.coalesce(n, F.lit(0))).alias("median"), F.max(F.when(doc, F.col("k"))).alias("max"),
+        F.coalesce(F.sum(F.when(doc & (F.col("k") > 0), F.col("n"))), F.lit(0)).alias("cited"), F.struct(*[F.count_if(F.col("field") == f).alias(f) for f in fields] or [F.lit(0).alias("_none")]).alias("d"),
     )
-    d = distinct_items(works, fields).select(F.struct("*").alias("d")).scalar()
-    row = base.withColumn("d", d)
+    row = base
     lines: list[tuple[str, str, str | Column]] = [
         ("Dataset", "Number of documents", "docs"), ("Dataset", "First year", "y0"), ("Dataset", "Last year", "y1"),
         ("Dataset", "Number of years", F.col("y1") - F.col("y0") + 1), ("Dataset", "Number of sources", "sources"),
@@ -124,10 +143,11 @@ def _text_value(value: Column) -> Column:
 
 
 def describe_numeric(works: DataFrame, col: str, extra: bool = False) -> DataFrame:
-    """``(variable, indicator, value)`` of one numeric column."""
+    """``(variable, indicator, value)`` of one numeric column; the percentiles are found before the query is built."""
     v = F.col(col).try_cast("double")
+    median, *tails = (F.lit(x).cast("double") for x in exact_percentiles(works, col, [0.5, *((0.25, 0.75, 0.9, 0.95) if extra else ())]))
     aggs = [
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(median).alias("median"),
         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
     ]
     lines = [("Count", "n", 0), ("Mean", "mean", 2), ("Median", "median", 2), ("Std Dev", "std", 2),
@@ -135,14 +155,13 @@ def describe_numeric(works: DataFrame, col: str, extra: bool = False) -> DataFra
     if extra:
         aggs += [
             F.skewness(v).alias("sk"), F.kurtosis(v).alias("ku"),
-            F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.75, 0.9, 0.95)])).alias("p"),
         ]
     row = works.agg(*aggs)
     if extra:
         n = F.col("n").cast("double")
         row = row.withColumns({
             "skew": sample_skewness(F.col("sk"), n), "kurt": sample_kurtosis(F.col("ku"), n),
-            **{f"p{q}": F.col("p")[i] for i, q in enumerate((25, 75, 90, 95))},
+            **{f"p{q}": t for q, t in zip((25, 75, 90, 95), tails)},
         })
         lines += [("Skewness", "skew", 3), ("Kurtosis", "kurt", 3)] + [(f"P{q}", f"p{q}", 2) for q in (25, 75, 90, 95)]
     return _lines(row, col, [(name, F.round(F.col(c).cast("double"), d)) for name, c, d in lines])
