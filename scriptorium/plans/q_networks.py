@@ -163,9 +163,19 @@ def _(spark, d):
     return rounded(N.path_centralities(*written(spark, d)).select("node", "closeness"))
 
 
-@query("I5_betweenness")
+@query(
+    "I5_betweenness",
+    # distances by doubling (up to 64 links), shortest paths counted along the links that lie on them
+    NET.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", d1 AS (SELECT src, dst, weight::DOUBLE AS d FROM b UNION ALL SELECT node, node, 0 FROM n)"
+    + "".join(f", d{2 * i} AS (SELECT x.src, y.dst, min(x.d + y.d) AS d FROM d{i} x JOIN d{i} y ON x.dst = y.src GROUP BY ALL)" for i in (1, 2, 4, 8, 16, 32))
+    + """, steps AS (SELECT a.src AS s, b.src AS v, b.dst AS u FROM d64 a JOIN b ON b.src = a.dst JOIN d64 z ON z.src = a.src AND z.dst = b.dst WHERE a.d + b.weight = z.d),
+    p AS (SELECT node AS s, node AS v, 0 AS i, 1::DOUBLE AS k FROM n UNION ALL SELECT p.s, t.u, p.i + 1, sum(p.k) FROM p JOIN steps t ON t.s = p.s AND t.v = p.v GROUP BY p.s, t.u, p.i),
+    g AS (SELECT s, v, sum(k) AS k, any_value(d) AS d FROM p JOIN d64 ON src = s AND dst = v GROUP BY s, v),
+    m AS (SELECT a.v AS node, sum(a.k * z.k / t.k) AS x FROM g a JOIN g z ON z.s = a.v JOIN g t ON t.s = a.s AND t.v = z.v WHERE a.d + z.d = t.d AND a.v <> a.s AND a.v <> z.v GROUP BY a.v)
+    SELECT n.node, round(coalesce(x, 0) / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2)), 6) AS betweenness FROM n LEFT JOIN m USING (node)""",
+)
 def _(spark, d):
-    return N.path_centralities(*written(spark, d)).select("node", "betweenness")
+    return rounded(N.path_centralities(*written(spark, d)).select("node", "betweenness"))
 
 
 @query(
