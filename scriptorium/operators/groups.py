@@ -125,8 +125,8 @@ def groups_by_terms(works: DataFrame, text: str, terms: dict[str, list[str]]) ->
 
 
 def random_groups(works: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` independent half-size groups from a hash of the id (repeatable, may overlap)."""
-    hit = lambda g: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed), g), F.lit(2)) == 0
+    """``n`` independent half-size groups from a hash of the id (repeatable in any engine, may overlap)."""
+    hit = lambda g: F.substring(F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit(str(seed)), g.cast("string")).cast("binary")), 1, 1) < "8"
     members = F.filter(F.sequence(F.lit(1), F.lit(n)), hit)
     return works.withColumn("groups", F.transform(members, lambda g: F.concat(F.lit("Random "), g)))
 

@@ -187,9 +187,25 @@ def _(spark, d):
     return D.descriptive_statistics(works(spark, d, "author_keywords"), VARS, extra=True)
 
 
-@query("D12_all_statistics")
+def _section(name: str, sql: str, group: str) -> str:
+    text = "regexp_replace(CAST(CAST(value AS DECIMAL(38, 3)) AS VARCHAR), '\\.?0+$', '')" if group == "category" else "value"
+    return f"SELECT '{name}' AS section, {group} AS \"group\", indicator, {text} AS value FROM ({sql}) WHERE value IS NOT NULL"
+
+
+def all_sql() -> str:
+    from .q_trends import GROWTH
+
+    words = with_sql(WORKS, long_sql("author_keywords"))
+    numbers = [numeric_sql(c).split("('Skewness'")[0].rstrip().rstrip(",") + ") v(indicator, value)" for c in ("year", "cited_by")]
+    told = words + "\nUNION ALL ".join([*numbers, string_sql("doc_type"), string_sql("source"), list_sql("author_keywords")])
+    return "\nUNION ALL ".join([
+        _section("summary", SUMMARY, "category"), _section("performance", PERF, "category"), _section("time series", GROWTH, "category"), _section("descriptive", told, "variable"),
+    ])
+
+
+@query("D12_all_statistics", all_sql())
 def _(spark, d):
-    """Union of the summary, performance, growth and descriptive tables (each checked on its own)."""
+    """Union of the summary, performance, growth and descriptive tables."""
     return D.all_statistics(works(spark, d, *FIELDS, "references"), VARS)
 
 

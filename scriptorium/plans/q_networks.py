@@ -422,6 +422,22 @@ def _(spark, d):
     return rounded(C.disruption_by_entity(scalars(spark, d), scores(spark, d), "year", "single"))
 
 
+@query("I17_disruption_by_source", by_entity_sql("long AS (SELECT doc_id, source AS entity FROM works)"))
+def _(spark, d):
+    return rounded(C.disruption_by_entity(scalars(spark, d), scores(spark, d), "source", "single"))
+
+
+@query("I17_disruption_by_country", by_entity_sql(long_sql("countries")))
+def _(spark, d):
+    return rounded(C.disruption_by_entity(works(spark, d, "countries"), scores(spark, d), "countries"))
+
+
+@query("I17_disruption_by_affiliation", by_entity_sql(long_sql("countries", "c") + ", long AS (SELECT doc_id, 'Institute of ' || entity AS entity FROM c)"))
+def _(spark, d):
+    w = works(spark, d, "countries").withColumn("affiliations", F.transform("countries", lambda c: F.concat(F.lit("Institute of "), c)))
+    return rounded(C.disruption_by_entity(w, scores(spark, d), "affiliations"))
+
+
 @query("I18_most_disruptive", with_sql(WORKS, CITES, DIS) + "SELECT doc_id, round(cd, 6) AS cd_index, class FROM u WHERE cd IS NOT NULL ORDER BY cd DESC, doc_id LIMIT 20")
 def _(spark, d):
     return rounded(C.most_disruptive(scores(spark, d), 20).select("doc_id", "cd_index", "class"))
@@ -461,6 +477,21 @@ def beauties(spark, d):
     return R.sleeping_beauties(R.histories(yearly_cites(spark, d)), min_beauty=2, min_sleep=2, min_citations=20, min_intensity=1.2)
 
 
+@query("I19_history_from_columns", with_sql(YEARLY) + "SELECT * FROM hist")
+def _(spark, d):
+    """Years and counts side by side, divided by bars."""
+    per = yearly_cites(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("year", "cites"))).alias("h"))
+    text = lambda f: F.array_join(F.transform("h", lambda x: x[f].cast("string")), " | ")
+    return R.parse_history(per.select("doc_id", text("year").alias("y"), text("cites").alias("c")), "y", "c")
+
+
+@query("I19_history_from_json", with_sql(YEARLY) + "SELECT * FROM hist")
+def _(spark, d):
+    """A dictionary of years as text, in single quotes."""
+    per = yearly_cites(spark, d).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string").alias("k"), F.col("cites").alias("v")))).alias("m"))
+    return R.parse_history_json(per.select("doc_id", F.translate(F.to_json("m"), '"', "'").alias("h")), "h")
+
+
 @query("I19_beauty", BEAUTY + f"SELECT {ROUND} FROM z")
 def _(spark, d):
     return rounded(R.beauty(R.histories(yearly_cites(spark, d))))

@@ -123,6 +123,36 @@ def _(spark, d):
     return s.select("id", "publication_year")
 
 
+def _marked(spark, d):
+    """The records with an ORCID per author and an ISSN per journal, both from the last letters of their names."""
+    tail = lambda c: F.right(c, F.lit(4))
+    r = records(spark, d)
+    r = r.withColumn("authorships", F.transform("authorships", lambda a: a.withField("author.orcid", F.concat(F.lit("0000-0001-0000-"), tail(a["author"]["display_name"])))))
+    return r.withColumn("primary_location", F.col("primary_location").withField("source.issn_l", F.concat(F.lit("1234-"), tail(F.col("primary_location.source.display_name")))))
+
+
+@query("A2c_select_by_orcid", with_sql(WORKS, long_sql("authors")) + "SELECT DISTINCT 'W' || doc_id AS id FROM long WHERE right(entity, 4) = '0003'")
+def _(spark, d):
+    return snapshot.select_works(_marked(spark, d), author="0000-0001-0000-0003").select("id")
+
+
+@query("A2c_select_by_issn", with_sql(WORKS) + "SELECT 'W' || doc_id AS id FROM works WHERE right(source, 4) = '0012'")
+def _(spark, d):
+    return snapshot.select_works(_marked(spark, d), journal="12340012").select("id")
+
+
+@query("A2c_select_by_dois", with_sql(WORKS) + "SELECT 'W' || doc_id AS id FROM works WHERE doc_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 1)")
+def _(spark, d):
+    """The list of DOIs is a table; repeats do not matter."""
+    dois = table(spark, d, "lineitem").filter("l_quantity = 1").select(F.concat(F.lit("10.1/"), "l_orderkey").alias("doi"))
+    return snapshot.select_works(records(spark, d), dois=dois).select("id")
+
+
+@query("A2c_select_by_institution", with_sql(WORKS, long_sql("countries")) + "SELECT DISTINCT 'W' || doc_id AS id FROM long WHERE contains(lower('Institute ' || entity), 'nation_1')")
+def _(spark, d):
+    return snapshot.select_works(records(spark, d), institution="Nation_1").select("id")
+
+
 @query(
     "A4_separator_scores",
     with_sql(WORKS, long_sql("authors", "la"), long_sql("countries", "lc"), long_sql("author_keywords", "lk"), """n AS (SELECT avg((a > 1)::INT) > 0.15 AS a, avg((c > 1)::INT) > 0.15 AS c, avg((k > 1)::INT) > 0.15 AS k FROM (SELECT doc_id,
@@ -199,3 +229,20 @@ def _(spark, d):
 def _(spark, d):
     p = table(spark, d, "part")
     return files.concepts_from_columns(p.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")))
+
+
+@query("A12_read_concepts_json", "SELECT DISTINCT p_type AS concept, p_name AS keyword FROM part")
+def _(spark, d):
+    """A dictionary file: one JSON list of part types with their names."""
+    path = scratch_path(spark, "concepts")
+    rows = table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.array_sort(F.collect_set("p_name")).alias("keywords"))
+    rows.agg(F.to_json(F.collect_list(F.struct("name", "keywords"))).alias("value")).coalesce(1).write.text(path)
+    return files.read_concepts(spark, path, "json")
+
+
+@query("A12_read_concepts_csv", "SELECT DISTINCT 'brand' AS concept, p_brand AS keyword FROM part UNION SELECT 'name', p_name FROM part")
+def _(spark, d):
+    """One column per concept."""
+    path = scratch_path(spark, "concepts")
+    table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).write.option("header", True).csv(path)
+    return files.read_concepts(spark, path, "csv")

@@ -88,9 +88,19 @@ def _(spark, d):
     return E.polynomial_trend(E.yearly_counts(scalars(spark, d)), 2).withColumn("trend", F.round("trend", 4))
 
 
-@query("E4_cubic_trend")
+# cubic least squares by polynomials that are orthogonal on the years
+CUBE = """c AS (SELECT *, year - avg(year) OVER () AS x FROM y),
+q2 AS (SELECT *, x * x - avg(x * x) OVER () - x * (sum(pow(x, 3)) OVER () / sum(x * x) OVER ()) AS b FROM c),
+q3 AS (SELECT *, pow(x, 3) - avg(pow(x, 3)) OVER () - x * (sum(pow(x, 4)) OVER () / sum(x * x) OVER ()) - b * (sum(pow(x, 3) * b) OVER () / sum(b * b) OVER ()) AS e FROM q2)"""
+
+
+@query(
+    "E4_cubic_trend",
+    with_sql(WORKS, series_sql(), CUBE)
+    + "SELECT year, docs, citations, round(avg(docs) OVER () + x * sum(docs * x) OVER () / sum(x * x) OVER () + b * sum(docs * b) OVER () / sum(b * b) OVER () + e * sum(docs * e) OVER () / sum(e * e) OVER (), 4) AS trend FROM q3",
+)
 def _(spark, d):
-    return E.polynomial_trend(E.yearly_counts(scalars(spark, d)), 3)
+    return E.polynomial_trend(E.yearly_counts(scalars(spark, d)), 3).withColumn("trend", F.round("trend", 4))
 
 
 @query("E4_exponential_trend")
@@ -111,8 +121,7 @@ def _(spark, d):
     return E.trend_summary(E.yearly_counts(scalars(spark, d)))
 
 
-@query(
-    "E6_growth_statistics",
+GROWTH = (
     with_sql(WORKS, "y AS (SELECT year, count(*) AS docs, sum(cited_by) AS citations FROM works GROUP BY year)",
       f"g AS (SELECT *, {CHANGE.replace('round(', '(').replace(', 6)', ')')} AS g, row_number() OVER (ORDER BY year DESC) AS r FROM y)")
     + """SELECT category, indicator, CAST(value AS DOUBLE) AS value FROM (SELECT min(year) AS a, max(year) AS b, count(*) AS n, arg_max(year, docs) AS py, max(docs) AS pd,
@@ -123,8 +132,11 @@ def _(spark, d):
      ('Time Series', 'Documents in most productive year', pd), ('Growth', 'Average annual growth (%)', round(gm, 1)), ('Growth', 'Highest growth year', hy),
      ('Growth', 'Highest growth (%)', round(hg, 1)), ('Growth', 'Lowest growth year', ly), ('Growth', 'Lowest growth (%)', round(lg, 1)),
      ('Growth', 'Average growth, last 3 years (%)', round(g3, 1)), ('Growth', 'Average growth, last 5 years (%)', CASE WHEN k >= 5 THEN round(g5, 1) END),
-     ('Citations', 'Most cited year', cy), ('Citations', 'Citations in most cited year', cc), ('Citations', 'Average citations per year', round(ca, 0))) v(category, indicator, value)""",
+     ('Citations', 'Most cited year', cy), ('Citations', 'Citations in most cited year', cc), ('Citations', 'Average citations per year', round(ca, 0))) v(category, indicator, value)"""
 )
+
+
+@query("E6_growth_statistics", GROWTH)
 def _(spark, d):
     return E.growth_statistics(scalars(spark, d))
 
@@ -196,3 +208,31 @@ def _(spark, d):
 @query("E11_forecast")
 def _(spark, d):
     return Y.forecast(Y.life_cycle(_series(spark, d)), horizon=5)
+
+
+def _moments(spark, d):
+    """Curves whose parameters are moments of the series, so that SQL can follow the closed forms."""
+    per = _series(spark, d).groupBy("series").agg(
+        (2 * F.sum("docs")).cast("double").alias("k"), (1 / (1 + F.stddev_pop("year"))).alias("r"), F.avg("year").alias("tm"), F.max("year").alias("last_year"),
+    )
+    return per.withColumn("success", F.lit(True))
+
+
+MOMENTS = with_sql(
+    WORKS, long_sql("subject_areas"), "s AS (SELECT entity AS series, year, count(*) AS docs FROM long JOIN works USING (doc_id) GROUP BY ALL)",
+    "f AS (SELECT series, CAST(2 * sum(docs) AS DOUBLE) AS k, 1 / (1 + stddev_pop(year)) AS r, avg(year) AS tm, max(year) AS last_year FROM s GROUP BY series)",
+)
+
+
+@query("E11_milestones_of_moments", MOMENTS + "SELECT series, p AS percent, round(tm + ln((p / 100) / (1 - p / 100)) / r, 6) AS year FROM f, (SELECT unnest([10, 25, 50, 75, 90, 99])::INTEGER AS p)")
+def _(spark, d):
+    return rounded(Y.milestones(_moments(spark, d)))
+
+
+@query(
+    "E11_forecast_of_moments",
+    MOMENTS + """SELECT series, CAST(y AS INTEGER) AS year, round(k / (1 + e), 4) AS cumulative, round(k * r * e / ((1 + e) * (1 + e)), 4) AS annual
+    FROM (SELECT *, exp(-r * (y - tm)) AS e FROM (SELECT *, unnest(range(last_year, last_year + 6)) AS y FROM f))""",
+)
+def _(spark, d):
+    return rounded(Y.forecast(_moments(spark, d), horizon=5), 4)
