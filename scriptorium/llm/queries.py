@@ -147,7 +147,7 @@ def _sql_node(u: str) -> str:
     bare = f"regexp_extract({u}, '^([^#]*)', 1, 's')"
     return f"""CASE WHEN instr({bare}, '://') > 0 THEN lower(substr({bare}, 1, instr({bare}, '://') + 2)) ||
   translate(regexp_extract({_SQL_URL.format(u=bare)}, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ||
-  regexp_extract({_SQL_URL.format(u=bare)}, '^[^/?#]*(.*)$', 1, 's') END"""
+  CASE WHEN regexp_matches({_SQL_URL.format(u=bare)}, '^[^/?#]*/') THEN '' ELSE '/' END || regexp_extract({_SQL_URL.format(u=bare)}, '^[^/?#]*(.*)$', 1, 's') END"""
 
 
 OP5_SQL = f"""WITH RECURSIVE links AS (SELECT {_sql_node('url')} AS x, {_sql_node('v')} AS y FROM (SELECT url, replace(unnest([

@@ -37,11 +37,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def without_fragment(url: Column) -> Column:
-    """The name of a resource: the url up to ``#``, scheme and host lower-cased."""
+    """The name of a resource: the url up to ``#``, scheme and host lower-cased, a slash behind a bare host."""
     bare = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
     at = F.instr(bare, "://")
     tail = F.substring(bare, at + 3 + F.length(host_of(bare)), F.length(bare))
-    return F.when(at > 0, F.concat(F.lower(F.substring(bare, F.lit(1), at + 2)), host_of(bare), tail))
+    return F.when(at > 0, F.concat(F.lower(F.substring(bare, F.lit(1), at + 2)), host_of(bare), F.when(F.startswith(tail, F.lit("/")), "").otherwise("/"), tail))
 
 
 def resolved(base: Column, target: Column) -> Column:
@@ -68,7 +68,7 @@ def resolved(base: Column, target: Column) -> Column:
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(src, dst)``: all canonical links and refresh redirects that pages declare, relative ones by the page's address.
 
-    The address is the page's url or its first base tag's.
+    The address is the page's url or its first base tag's.  Tags inside comments and scripts count as well.
     """
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -77,9 +77,12 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     url, html = F.col(url_col).cast("string"), F.col(html_col)
     targets = F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in (tag, refresh)])
     some = pages.filter(html.rlike("(?i)canonical|refresh"))  # one look tells that most pages hold neither
-    found = some.select(url.alias("_u"), plain(F.regexp_extract(html, base, 1)).alias("_b"), F.explode(targets).alias("_v"))
-    found = found.withColumn("_at", F.when(F.col("_b") == "", F.col("_u")).otherwise(F.coalesce(resolved(F.col("_u"), F.col("_b")), F.col("_u"))))
-    found = found.withColumn("_v", resolved(F.col("_at"), plain(F.col("_v"))))
+    # few pages hold tags: they are written at each step, so that no step repeats the expressions of the one before
+    found = cut(some.select(url.alias("_u"), plain(F.regexp_extract(html, base, 1)).alias("_b"), F.explode(targets).alias("_v")))
+    if found.isEmpty():
+        return found.select(F.col("_u").alias("src"), F.col("_v").alias("dst"))
+    placed = cut(found.select("_u", F.when(F.col("_b") == "", F.col("_u")).otherwise(F.coalesce(resolved(F.col("_u"), F.col("_b")), F.col("_u"))).alias("_at"), plain(F.col("_v")).alias("_v")))
+    found = cut(placed.select("_u", resolved(F.col("_at"), F.col("_v")).alias("_v")))
     return found.select(without_fragment(F.col("_u")).alias("src"), without_fragment(F.col("_v")).alias("dst")).filter("src is not null and dst is not null and src <> dst")
 
 

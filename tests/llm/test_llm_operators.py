@@ -357,15 +357,17 @@ def test_relative_targets_and_all_tags(spark):
         (4, "http://example.com/a/b/c", refresh.format("../../de/./y?u=http://z")), (5, "http://ok.org/en", '<base href="//bad.net/q/">' + link.format("z")),
         (6, "http://ok.org/en/6", link.format("http://ok.org/en/none") + link.format("http://bad.net/6")), (7, "x", link.format("/de/x")), (8, "http://ok.org/8", link.format("?p=2&amp;q#f") + link.format("#top")),
         (9, "http://ok.org", refresh.format("..")), (10, "http://ok.org/10", link.format("mailto:a") + refresh.format("/r?u=http://bad.net/")), (11, None, link.format("/y")),
+        (12, "http://Bare.org?x", None), (13, "http://ok.org/13", link.format("http://bare.org")), (14, "http://bare.org/", link.format("http://bad.net")), (15, "http://bare.org", None),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {tuple(r) for r in url_rules.links(df).collect()} == {
         ("http://example.com/x", "http://example.com/de/x"), ("https://ok.org/a/b/c?q=1", "https://bad.net/a"), ("http://example.com/de/start/", "http://example.com/de/start/next.html"),
         ("http://example.com/a/b/c", "http://example.com/de/y?u=http://z"), ("http://ok.org/en", "http://bad.net/q/z"), ("http://ok.org/en/6", "http://ok.org/en/none"), ("http://ok.org/en/6", "http://bad.net/6"),
-        ("http://ok.org/8", "http://ok.org/8?p=2&q"), ("http://ok.org", "http://ok.org/"), ("http://ok.org/10", "http://ok.org/r?u=http://bad.net/"),
+        ("http://ok.org/8", "http://ok.org/8?p=2&q"), ("http://ok.org/10", "http://ok.org/r?u=http://bad.net/"),
+        ("http://ok.org/13", "http://bare.org/"), ("http://bare.org/", "http://bad.net/"),  # a bare host is its root
     }
     got = {r.page_id: r.verdict for r in url_rules.filter_urls(df, RULES).collect()}
-    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 13, 14, 15}
 
 
 # --- quality -----------------------------------------------------------------------------------------------
