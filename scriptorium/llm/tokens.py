@@ -12,17 +12,16 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .kept import kept
+
 _OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ["".join(x) for x in ((a, b, c) for a in " \n" for b in " \n" for c in " \n")]
 _PIECES = 500_000  # pieces kept per worker, about 150 MB at most
-_encoders: dict[str, "Encoder"] = {}
 
 
 def encoder(path: str) -> "Encoder":
     """The encoder of this worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def divisible(text: str) -> bool:

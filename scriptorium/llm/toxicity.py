@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .kept import kept
 
 DECAY = 0.7
 _STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4]  # distances inside a triple
 _FLOOR = 0.4  # likeness below which a word tells nothing
 _SPAN = 24  # letters of a piece of a very long word
 _SHORT = 4  # letters below which words are alike only when equal
-_WORDS = 500_000  # words kept per worker
+_WORDS = 300_000  # words kept per worker
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -326,9 +327,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, landmarks: in
     return model
 
 
-_readers: dict[tuple[str, ...], Reader] = {}
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``score``, from whole texts, in one pass without a shuffle.
 
@@ -341,11 +339,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def task(batches):
         m = shared.value
-        key = tuple(m.landmarks)
-        if key not in _readers:  # one reader per worker, for as long as the landmarks stay
-            _readers.clear()
-            _readers[key] = Reader(Landmarks(m.landmarks))
-        reader = _readers[key]
+        reader = kept(("toxicity", *m.landmarks), lambda: Reader(Landmarks(m.landmarks)))
         for b in batches:
             out = [m.scores(reader.read(texts)) for _, texts in tokens.text_slices(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, "score"])
