@@ -2,28 +2,62 @@
 
 Sizes are cut into bands so that similar sets lie in one band or in neighbours.  For a pair of bands the
 similarity bounds how many elements two sets may differ in, ``k``.  The domain of shingles is dealt into more
-than ``k`` parts: two similar sets then agree in at least one whole part (pigeonhole), and each set's
-signatures are the hashes of its parts.  (Of the enumerated subsets of parts, single parts are the choice
-with fewest signatures for sets of documents' size.)  Sets of one signature are candidates; candidates are
+than ``k`` parts, so many that nearly all sets fill more than ``k`` of them: two similar sets then agree in at
+least one filled part (pigeonhole), and each set's signatures are the hashes of its filled parts.  (Of the
+enumerated subsets of parts, single parts are the choice with fewest signatures for sets of documents' size.)
+Where candidates pile up, the parts are filled a second time without the shingles that most of them share.  Sets of one signature are candidates; candidates are
 verified exactly, together, in groups of bounded size.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import cut
+from ..functions.scratch import cut, discard
 from ..operators.graph import components
 from . import hashing as H
+from .kept import release
 
 _ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 _SCHEMA = "kind int, a long, b long, n long"
 _DOC, _SIGNATURE, _SAME, _NEAR = 0, 1, 2, 3  # kinds of rows: (id, -, size), (signature, id, -), (id, equal id, -), (id, candidate id, -)
 _NO_ID = -(1 << 63)
-_HELD = 1 << 22  # signatures a task holds before it sends them on
+_HELD = 1 << 20  # signatures a task holds before it sends them on
+
+
+_RARE = 1e-6  # chance that a set fills too few parts to be found by them alone
+
+
+def _filled_at_most(limit: int, size: int, parts: int) -> float:
+    """Chance that ``size`` elements fall into ``limit`` of the parts or fewer."""
+    if size > 256:  # the number of empty parts is about normal
+        load = size / parts
+        empty = parts * np.exp(-load)
+        spread = np.sqrt(empty * (1 - (1 + load) * np.exp(-load)))
+        return 0.5 * math.erfc((parts - empty - limit - 0.5) / max(spread, 1e-9) / math.sqrt(2))
+    chance = np.zeros(parts + 1)
+    chance[0] = 1.0
+    filled = np.arange(parts + 1) / parts
+    for _ in range(size):
+        chance = chance * filled + np.concatenate(([0.0], (chance * (1 - filled))[:-1]))
+    return float(chance[: limit + 1].sum())
+
+
+def _enough_parts(size: int, differ: int) -> int:
+    """Parts for sets of ``size`` elements or more, so that nearly all of them fill more than ``differ``.
+
+    Sets that differ in ``differ`` elements agree in a filled part then.  An empty part says nothing about a
+    set; it would tie all sets together that happen to leave it empty.
+    """
+    parts = differ + 1
+    while differ and size > differ + 1 and _filled_at_most(differ, size, parts) > _RARE and parts < 64 * size:
+        parts += max(1, parts // 64)
+    return parts
 
 
 class Bands:
@@ -38,53 +72,90 @@ class Bands:
         top, above = np.array(self.low[1:-1], np.int64) - 1, np.array(self.low[2:], np.int64) - 1
         differ = (top + above) * (den - num) // (den + num)  # of a set of the band and one of it or the next
         self.lows = lows
-        self.slack = np.where(differ > 0, 1 + differ // 32, 0)  # agreeing parts that may be empty ones
-        self.parts = differ + 1 + self.slack
+        self.parts = np.array([_enough_parts(int(n), int(k)) for n, k in zip(lows, differ)], np.int64)
+        self.slack = self.parts - differ - 1  # agreeing parts that may be empty ones
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, size, side="right") - 1
 
 
-def signatures(keys: np.ndarray, row: np.ndarray, n_rows: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """``(signature, row)`` of all sets; ``keys`` sorted by row."""
+class Common:
+    """A set of hashes in a bit array of fixed size; it may hold a few more, never fewer."""
+
+    TIMES = 4
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    @staticmethod
+    def bits(keys: np.ndarray, n_bits: int) -> np.ndarray:
+        """Places of every key, a row per place."""
+        one, two = H.mix(keys + np.uint64(0x9E37)), H.mix(keys ^ np.uint64(0xC2B2AE3D)) | np.uint64(1)
+        return np.stack([one + np.uint64(i) * two for i in range(Common.TIMES)]) & np.uint64(n_bits - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in self.bits(keys, len(self.words) * 64):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def signatures(keys: np.ndarray, row: np.ndarray, n_rows: int, bands: Bands, common: Common | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(signature, row)`` of all sets; ``keys`` sorted by row.
+
+    With ``common``, the parts hold only the elements that are not common: these differ in no more places than
+    the sets do.  If one of two similar sets fills more such parts than may differ, both fill one alike; if
+    neither does, both also have the signatures of their full parts.
+    """
     size = np.bincount(row, minlength=n_rows)
     band = bands.of(np.maximum(size, 1))
     out_h, out_r = [], []
     spread, element = H.mix(keys ^ np.uint64(0xA5A5A5A5)), H.mix(keys + np.uint64(0x51ED27))
+    rare = None if common is None else ~common.has(keys)
     for step in (0, 1):  # as the smaller one of a pair of bands, then as the larger
         pair = band - step
         live = (pair >= 0) & (size > 0)
-        pick = live[row]
-        r, parts = row[pick], bands.parts[np.maximum(pair, 0)]
-        part = ((spread[pick] >> np.uint64(32)) * parts[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        first = np.concatenate(([0], np.cumsum(np.where(live, parts, 0))))
-        slot = first[r] + part
-        sums, filled = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
-        np.add.at(sums, slot, element[pick])
-        filled[slot] = True
-        owner = np.repeat(np.arange(n_rows), np.diff(first))
-        index = np.arange(first[-1]) - first[owner]
-        empty = np.bincount(owner[~filled], minlength=n_rows)
-        use = filled | (empty > bands.slack[np.maximum(pair, 0)])[owner]  # else a filled part must agree too
-        owner, index, sums = owner[use], index[use], sums[use]
-        place = pair[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        out_h.append(H.mix(sums + H.mix(place)))
-        out_r.append(owner)
+        at = np.maximum(pair, 0)
+
+        def filled_parts(pick: np.ndarray, live: np.ndarray, salt: int, empty_too: bool):
+            """Emits the parts of the live sets; returns how many each fills."""
+            r, parts = row[pick], bands.parts[at]
+            part = ((spread[pick] >> np.uint64(32)) * parts[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            first = np.concatenate(([0], np.cumsum(np.where(live, parts, 0))))
+            slot = first[r] + part
+            sums, filled = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
+            np.add.at(sums, slot, element[pick])
+            filled[slot] = True
+            owner = np.repeat(np.arange(n_rows), np.diff(first))
+            index = np.arange(first[-1]) - first[owner]
+            full = np.bincount(owner[filled], minlength=n_rows)
+            few = live & (bands.parts[at] - full > bands.slack[at])  # else a filled part must agree
+            use = filled | few[owner] if empty_too else filled
+            owner, index, sums = owner[use], index[use], sums[use]
+            place = pair[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(salt)
+            out_h.append(H.mix(sums + H.mix(place)))
+            out_r.append(owner)
+            return few
+
+        if rare is not None:
+            live = filled_parts(live[row] & rare, live, 0x5EED, False)
+        filled_parts(live[row], live, 0, True)
     return np.concatenate(out_h), np.concatenate(out_r)
 
 
-def _signed(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
+def _signed(docs: DataFrame, words: int, bands: Bands, common: Common | None = None) -> DataFrame:
     """Sizes, signatures and, inside a task, sets that are equal.
 
     What a task can settle alone it sends on once: of equal sets only the first has signatures, and of the
     sets that share a signature only the first carries it on, the others are named as its candidates.  So
-    a signature has a row per task (and some millions of signatures) at most, however many documents share it.
+    a signature has a row per task (and million signatures) at most, however many documents share it.
     """
 
     def rows(kind, a, b, n):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], schema=_ARROW)
 
     def task(batches):
+        release()
         seen: dict[tuple, int] = {}
         hashes, owners, held = [], [], 0
 
@@ -130,13 +201,15 @@ def _signed(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                     pairs = np.array(same, np.int64)
                     yield rows(_SAME, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
                 pick = fresh[row]
-                h, r = signatures(keys[pick], row[pick], n_rows, bands)
+                h, r = signatures(keys[pick], row[pick], n_rows, bands, common)
                 hashes.append(h)
                 owners.append(own[r])
                 held += len(h)
             if held > _HELD:
                 yield from settled()
         yield from settled()
+        seen.clear()
+        release()
 
     return docs.mapInArrow(task, _SCHEMA)
 
@@ -198,33 +271,89 @@ def _verified(groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return groups.groupBy("group", "i", "j").applyInArrow(group, "src long, dst long")
 
 
+def _candidates(signed: DataFrame) -> DataFrame:
+    """Distinct ``(src, dst)``: every set of a signature beside the one of smallest id."""
+    near = signed.filter(F.col("kind") == _NEAR).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    shared = signed.filter(F.col("kind") == _SIGNATURE).select(F.col("a").alias("signature"), F.col("b").alias("src"))
+    shared = shared.withColumn("dst", F.min("src").over(Window.partitionBy("signature"))).filter("src <> dst").select("src", "dst")
+    return near.unionByName(shared).distinct()
+
+
+def _common(docs: DataFrame, words: int, often: int) -> Common:
+    """Shingles of more than ``often`` of the texts, as a bit array."""
+
+    def task(batches):
+        held: list[np.ndarray] = []
+
+        def out():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for at in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(n[at : at + (1 << 18)])], names=["key", "n"])
+
+        for b in batches:
+            for _, data, offsets in H.slices(b.column(1), 1 << 19):
+                held.append(H.shingle_sets(data, offsets, words)[0])
+                if sum(map(len, held)) > _HELD:
+                    yield from out()
+        if held:
+            yield from out()
+        release()
+
+    frequent = cut(docs.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > often).select("key"))
+    n_bits = 1 << min(max(int(16 * frequent.count()).bit_length(), 16), 26)  # at most 8 MB; beyond, more shingles count as common
+
+    def bits(batches):
+        for b in batches:
+            at = Common.bits(np.asarray(b.column(0)).view(np.uint64), n_bits).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    rows = frequent.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    table = np.zeros(n_bits // 64, np.uint64)
+    for r in rows:
+        table[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    discard(frequent)
+    return Common(table)
+
+
 def similar_documents(
-    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = 500_000, often: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: documents linked by ``den * both >= num * any`` of their sets.
 
     Words are runs without ASCII white space after lower-casing A-Z; a set holds the distinct shingles of
     ``words`` words, or the whole sequence of a shorter text.  The component is named by its smallest id.
 
-    - A candidate group goes to one task while its sets hold at most ``block`` shingles; a larger one is
-      dealt into blocks by id, and a task compares two blocks.  Tasks return a link per document.
+    - A candidate group goes to one task while its sets hold at most ``block`` shingles.  Larger ones mostly
+      hang together by passages that many documents share: their sets are signed again without the shingles
+      that more than ``often`` of them hold, which takes such groups apart.  A group that is still larger (near
+      copies in great number) is dealt into blocks by id, and a task compares two blocks.  Tasks return a link
+      per document.
     - Null and empty texts have an empty set and are linked with nothing.  Null ids get a null component and
       are linked with nothing.  Rows that share an id are one node: its size is that of the largest set and
-      all its links count.  Other columns are not read.
+      all its links count.  An empty table gives an empty one; long texts are taken whole.  Other columns are
+      not read.
     """
     bands = Bands(num, den)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = cut(_signed(source, words, bands))
-    size = signed.filter(F.col("kind") == _DOC).select(F.col("a").alias("id"), "n")
-    same = signed.filter(F.col("kind") == _SAME).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    near = signed.filter(F.col("kind") == _NEAR).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    shared = signed.filter(F.col("kind") == _SIGNATURE).select(F.col("a").alias("signature"), F.col("b").alias("src"))
-    shared = shared.withColumn("dst", F.min("src").over(Window.partitionBy("signature"))).filter("src <> dst").select("src", "dst")
-    candidates = near.unionByName(shared).distinct()
+    candidates = cut(_candidates(signed))
+    size = cut(signed.filter(F.col("kind") == _DOC).select(F.col("a").alias("id"), "n"))
+    same = cut(signed.filter(F.col("kind") == _SAME).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    discard(signed)
     grouped = cut(components(candidates))
     n = size.groupBy("id").agg(F.max("n").alias("n"))
     sized = cut(grouped.withColumnRenamed("node", "id").join(n, "id"))
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    blocks = cut(sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")))
+    if not blocks.filter("blocks > 1").isEmpty():
+        large = sized.join(blocks.filter("blocks > 1"), "component", "left_semi").select("id")
+        texts = cut(source.join(large.hint("merge"), "id").select("id", "text"))
+        again = cut(_signed(texts, words, bands, _common(texts, words, often)))
+        finer = cut(components(_candidates(again).unionByName(again.filter(F.col("kind") == _SAME).select(F.col("a").alias("src"), F.col("b").alias("dst")))))
+        kept = sized.join(blocks.filter("blocks = 1"), "component", "left_semi")
+        sized = cut(kept.select("id", "component", "n").unionByName(finer.withColumnRenamed("node", "id").join(n, "id").select("id", "component", "n")))
+        blocks = cut(sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")))
+        discard(again, texts)
     dealt = sized.join(blocks, "component").select("id", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
     # block pairs (i <= j) that this document belongs to
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
