@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scratch import cut
+from scriptorium.functions.scratch import cut, discard
 from scriptorium.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
 from scriptorium.llm.queries import BYTE_BPE
 
@@ -27,13 +27,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of every group linked at four fifths of its five-word shingles.
 
-    Texts without words belong to no group and stay; so do rows without id.  Of rows that share an id one stays.
+    Texts without words belong to no group and stay; so do rows without id.  Of rows that share an id the one of
+    smallest text (then language, source, length) stays.
     """
     docs = docs.select(*COLUMNS)
     groups = ngram_join.similar_documents(docs, words=5, num=80, den=100)
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+    # nearly all ids are there once; only the others are compared
+    twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    named = docs.join(first, "doc_id", "left_semi")
+    once = named.join(twice, "doc_id", "left_anti")
+    least = named.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", *[f"r.{c}" for c in COLUMNS[1:]])
+    return once.select(*COLUMNS).unionByName(least.select(*COLUMNS)).unionByName(docs.filter("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result of each is written before the next reads it."""
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
