@@ -84,8 +84,10 @@ def beauty(hist: DataFrame) -> DataFrame:
     d = d.withColumn("_max", F.max("_far").over(w))
     d = d.withColumn("sl", F.coalesce(F.min(F.when(F.col("_far") == F.col("_max"), t)).over(w), F.lit(0)))
     s = F.col("sl")
+    # added year by year: the last digit of a sum depends on its order, and whole coefficients lie on thresholds
+    in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("t", "_gap"))), F.lit(0.0), lambda acc, x: acc + x["_gap"])
     out = d.groupBy("doc_id", "publication_year").agg(
-        F.max("total").alias("total_citations"), F.max("cm").alias("max_citations_in_year"), F.sum("_gap").alias("beauty_coefficient"),
+        F.max("total").alias("total_citations"), F.max("cm").alias("max_citations_in_year"), in_order.alias("beauty_coefficient"),
         F.max("sl").alias("sleep_duration"), F.avg(F.when(t >= s, c)).alias("_after"), F.avg(F.when(t < s, c)).alias("_before"),
     )
     return out.withColumns({
