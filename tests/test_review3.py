@@ -2,6 +2,7 @@
 
 import random
 
+from scriptorium.operators import citation as C
 from scriptorium.operators import recognition as R
 
 
@@ -15,3 +16,15 @@ def test_beauty_does_not_depend_on_the_order_of_rows(spark):
         hist = spark.createDataFrame(shuffled, "doc_id long, publication_year int, t int, c long").repartition(7)
         got = {r.doc_id: r.beauty_coefficient for r in R.beauty(hist).collect()}
         assert got == {i + 10 * k: want[i] for i in counts for k in range(50)}
+
+
+def test_candidates_of_misspelt_codes_are_few(spark):
+    """Codes of 12 letters out of 16: every misspelt one finds its title, and no more than some others."""
+    rng = random.Random(3)
+    codes = ["".join(rng.choice("0123456789abcdef") for _ in range(12)) for _ in range(3000)]
+    bad = [c[:p] + ("x" if i % 3 == 0 else " " if i % 3 == 1 else "") + c[p + (i % 3 != 1):] for i, c in enumerate(codes[:300]) for p in [1 + i % 11]]
+    names = spark.createDataFrame([(i, "report " + c) for i, c in enumerate(codes)], "nid long, text string")
+    texts = spark.createDataFrame([(i, "report " + " ".join(b.split())) for i, b in enumerate(bad)], "tid long, text string")
+    found = {(r.tid, r.nid) for r in C._Grams(0.895).candidates(texts, names).collect()}
+    assert {(i, i) for i in range(300)} <= found
+    assert len(found) < 20 * 300
