@@ -28,3 +28,11 @@ def test_candidates_of_misspelt_codes_are_few(spark):
     found = {(r.tid, r.nid) for r in C._Grams(0.895).candidates(texts, names).collect()}
     assert {(i, i) for i in range(300)} <= found
     assert len(found) < 20 * 300
+
+
+def test_links_of_a_component_are_found_once(spark):
+    """The rounds and the result read written links, not the works again."""
+    works = [(f"W{i}", [f"W{i - 1}"] if i % 5 else []) for i in range(1, 20)]
+    got = C.citation_graph(spark.createDataFrame(works, "doc_id string, references array<string>"))
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()
+    assert {(r.citing, r.cited) for r in got.collect()} == {(f"W{i}", f"W{i - 1}") for i in range(11, 15)}
