@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from scriptorium.functions.scratch import placed
 from scriptorium.operators import citation as C
 from scriptorium.operators import recognition as R
 
@@ -36,3 +39,12 @@ def test_links_of_a_component_are_found_once(spark):
     got = C.citation_graph(spark.createDataFrame(works, "doc_id string, references array<string>"))
     assert "ExistingRDD" not in got._jdf.queryExecution().toString()
     assert {(r.citing, r.cited) for r in got.collect()} == {(f"W{i}", f"W{i - 1}") for i in range(11, 15)}
+
+
+def test_placed_tables_are_not_shuffled_again(spark):
+    """A join on the keys by which a table was placed shuffles the other side only."""
+    links = placed(spark.range(1000).select((F.col("id") % 2).alias("side"), F.col("id").alias("a")), "side", "a")
+    sent = spark.range(100).select((F.col("id") % 2).alias("side"), F.col("id").alias("a"), F.lit(1).alias("v"))
+    plan = links.join(sent.hint("shuffle_merge"), ["side", "a"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
