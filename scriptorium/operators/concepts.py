@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import ENGLISH_WORD, array_value, keep_only, ngrams, tokens
+from ..functions.lists import ENGLISH_WORD, ngrams, tokens
 from ..functions.ordering import top
 from ..functions.patterns import valid_pattern
+from ..functions.scratch import cut
 
 # The 17 goals grouped by dimension and by perspective.
 DIMENSIONS = {
@@ -109,12 +110,13 @@ def tag_many_concepts(df: DataFrame, text: str, concepts: DataFrame, max_words:
     number of concepts times the number of texts.
     """
     pattern = r"[\p{L}\p{N}_]+"
+    found = F.regexp_extract_all(F.lower("keyword"), F.lit(pattern), F.lit(0))
+    keys = concepts.select("concept", F.array_join(found, " ").alias("run"), F.size(found).alias("n")).filter("run <> ''").distinct()
+    # only runs as long as some keyword are formed; there are at most ``max_words`` lengths
+    lengths = sorted(n for n in keys.agg(F.collect_set("n")).first()[0] if n <= max_words)
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
-    runs = df.select("doc_id", words.alias("_w")).select("doc_id", F.explode(F.array_distinct(ngrams(F.col("_w"), 1, max_words))).alias("run"))
-    keys = concepts.select(
-        "concept",
-        F.array_join(F.regexp_extract_all(F.lower("keyword"), F.lit(pattern), F.lit(0)), " ").alias("run"),
-    ).filter("run <> ''").distinct()
+    runs = F.concat(F.array().cast("array<string>"), *[ngrams(F.col("_w"), n, n) for n in lengths])
+    runs = df.select("doc_id", words.alias("_w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
     return runs.join(keys, "run").select("doc_id", "concept").distinct()
 
 
@@ -194,7 +196,10 @@ def term_ngrams(df: DataFrame, text: str, stop_words: list[str], n_min: int = 1,
 def term_lists(df: DataFrame, col: str, kind: str = "list") -> DataFrame:
     """``(doc_id, terms)``: lower-cased items, or the words longer than two letters of a text."""
     if kind == "text":
-        terms = F.filter(F.split(F.lower(F.trim(F.col(col))), r"\s+"), lambda x: F.length(x) > 2)
+        low = F.lower(F.col(col).cast("string"))
+        for c in "\t\n\x0b\f\r":  # a split at one blank needs no expression; empty words are short ones
+            low = F.replace(low, F.lit(c), F.lit(" "))
+        terms = F.filter(F.split(low, " "), lambda x: F.length(x) > 2)
         # the condition is on the raw text: one on the list would be pushed down and split the text twice
         return df.filter(F.col(col).rlike(r"\S{3,}")).select("doc_id", terms.alias("terms"))
     from ..functions.lists import as_items
@@ -212,18 +217,14 @@ def document_terms(
     ln(N / (df + 1)) + 1).
     """
     freq = lists.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = top(freq.filter(F.col("df") >= min_docs), n_terms, F.desc("df"), F.asc("term"))
-    inside = keep_only(lists.select("doc_id", "terms"), "t", F.col("terms"), array_value(kept, "term"))
-    # counts inside the row: no shuffle of the documents
-    counted = F.transform(
-        F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).alias("n"))
-    )
-    rows = inside.select("doc_id", F.size("t").alias("_len"), F.explode(counted).alias("c")).select(
-        "doc_id", "_len", F.col("c.term").alias("term"), F.col("c.n").alias("n")
-    )
+    # written once: both the documents and the weights read it, and its size is known
+    kept = cut(top(freq.filter(F.col("df") >= min_docs), n_terms, F.desc("df"), F.asc("term")))
+    # the words meet the kept ones before anything is counted, so what is shuffled is kept words per document
+    # (a plain explode of a column would be guarded by a filter that splits every text a second time)
+    inside = lists.select("doc_id", F.explode_outer("terms").alias("term")).join(kept, "term")
+    rows = inside.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.first("df").alias("df"))
     if method == "tfidf":
-        n_docs = lists.agg(F.count(F.lit(1))).scalar()
-        rows = rows.join(kept, "term").withColumn("_nd", n_docs)
+        rows = rows.withColumn("_len", F.sum("n").over(Window.partitionBy("doc_id"))).withColumn("_nd", lists.agg(F.count(F.lit(1))).scalar())
         value = F.col("n") / F.col("_len") * (F.ln(F.col("_nd") / (F.col("df") + 1)) + 1)
     else:
         value = F.lit(1.0) if method == "binary" else F.col("n").cast("double")
