@@ -57,7 +57,8 @@ def group_table(
     The patterns (``;``-separated) apply to the rows that are left.
     """
     long = grouped_entities(works, col, kind)
-    cells = long.groupBy(F.col("entity").alias("row"), F.col("group").alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    # written once: the totals and the rows of the table both read the cells, not the documents again
+    cells = cut(long.groupBy(F.col("entity").alias("row"), F.col("group").alias("col")).agg(F.count(F.lit(1)).alias("n")))
     totals = cells.groupBy("row").agg(F.sum("n").alias("t"))
     if kind == "text" and max_features:
         totals = top(totals, max_features, F.desc("t"), F.asc("row"))
