@@ -38,6 +38,8 @@ def cooccurrence(
     The items are cut to the kept ones inside the row before pairs are formed, so the only shuffle
     carries pre-aggregated cells.
     """
+    # written once: both choices of items and the pairs read the lists, not what they were made from
+    works = cut(works.select("doc_id", *dict.fromkeys((row_col, col_col))))
     lists = works.select(_items(row_col, row_kind).alias("_r"), _items(col_col, col_kind).alias("_c"))
     if top_rows or row_filters:
         lists = keep_only(lists, "_r", F.col("_r"), _kept(works, row_col, row_kind, top_rows, row_filters or {}))
