@@ -5,8 +5,8 @@ similarity bounds how many elements two sets may differ in, ``k``.  The domain o
 than ``k`` parts, so many that nearly all sets fill more than ``k`` of them: two similar sets then agree in at
 least one filled part (pigeonhole), and each set's signatures are the hashes of its filled parts.  (Of the
 enumerated subsets of parts, single parts are the choice with fewest signatures for sets of documents' size.)
-Where candidates pile up, the parts are filled a second time without the shingles that most of them share.  Sets of one signature are candidates; candidates are
-verified exactly, together, in groups of bounded size.
+Shingles that many documents share fill parts only of sets that have too few others.  Sets of one signature
+are candidates; candidates are verified exactly, together, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -89,7 +89,8 @@ class Common:
 
     @staticmethod
     def bits(keys: np.ndarray, n_bits: int) -> np.ndarray:
-        """Places of every key, a row per place."""
+        """Places of every key, a row per place; keys of one upper half (a cell) have the same."""
+        keys = keys >> np.uint64(32)
         one, two = H.mix(keys + np.uint64(0x9E37)), H.mix(keys ^ np.uint64(0xC2B2AE3D)) | np.uint64(1)
         return np.stack([one + np.uint64(i) * two for i in range(Common.TIMES)]) & np.uint64(n_bits - 1)
 
@@ -279,39 +280,76 @@ def _candidates(signed: DataFrame) -> DataFrame:
     return near.unionByName(shared).distinct()
 
 
-def _common(docs: DataFrame, words: int, often: int) -> Common:
-    """Shingles of more than ``often`` of the texts, as a bit array."""
+_RANGES = 256  # of the cells of shingles, a group each
+
+
+def _gaps(cells: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers, 16 bits each; 65,535 is a step that ends at no number."""
+    gap = np.diff(cells.astype(np.int64), prepend=0)
+    n = gap // 0xFFFF + 1
+    out = np.full(n.sum(), 0xFFFF, "<u2")
+    out[np.cumsum(n) - 1] = gap % 0xFFFF
+    return out
+
+
+def _from_gaps(raw: bytes) -> np.ndarray:
+    gap = np.frombuffer(raw, "<u2")
+    return np.cumsum(gap, dtype=np.int64)[gap != 0xFFFF].astype(np.uint32)
+
+
+def _cells(docs: DataFrame, words: int) -> DataFrame:
+    """``(range, cells)``: the upper half of the hash of every shingle of every text, sorted, as differences.
+
+    That is two bytes a shingle (repeats included) and a row per range and million shingles, whatever the texts share.
+    """
+    width = 32 - (_RANGES - 1).bit_length()
 
     def task(batches):
+        release()
         held: list[np.ndarray] = []
 
         def out():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            cells = np.sort(np.concatenate(held))
             held.clear()
-            for at in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(n[at : at + (1 << 18)])], names=["key", "n"])
+            at = np.searchsorted(cells, np.arange(_RANGES, dtype=np.uint64) << np.uint64(width)).tolist()
+            filled = [(i, a, b) for i, (a, b) in enumerate(zip(at, [*at[1:], len(cells)])) if a < b]
+            packed = [_gaps(cells[a:b] - np.uint32(i << width)).tobytes() for i, a, b in filled]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in filled], pa.int32()), pa.array(packed, pa.binary())], names=["range", "cells"])
 
         for b in batches:
             for _, data, offsets in H.slices(b.column(1), 1 << 19):
-                held.append(H.shingle_sets(data, offsets, words)[0])
+                held.append((H.shingle_sets(data, offsets, words)[0] >> np.uint64(32)).astype(np.uint32))
                 if sum(map(len, held)) > _HELD:
                     yield from out()
         if held:
             yield from out()
         release()
 
-    frequent = cut(docs.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > often).select("key"))
+    return docs.mapInArrow(task, "range int, cells binary")
+
+
+def _common(docs: DataFrame, words: int, often: int) -> Common:
+    """Shingles of more than ``often`` of the texts, as a bit array (those of one cell are counted as one)."""
+    width = 32 - (_RANGES - 1).bit_length()
+
+    def frequent_cells(table: pa.Table) -> pa.Table:
+        cells = np.concatenate([_from_gaps(c.as_buffer()) for c in table.column("cells")])
+        cells.sort()
+        first = cells[: max(len(cells) - often, 0)]
+        many = np.unique(first[first == cells[often:]]).astype(np.int64)
+        return pa.table({"cell": many + (table.column("range")[0].as_py() << width)})
+
+    frequent = cut(_cells(docs, words).groupBy("range").applyInArrow(frequent_cells, "cell long"))
     n_bits = 1 << min(max(int(16 * frequent.count()).bit_length(), 16), 26)  # at most 8 MB; beyond, more shingles count as common
 
     def bits(batches):
         for b in batches:
-            at = Common.bits(np.asarray(b.column(0)).view(np.uint64), n_bits).reshape(-1)
+            at = Common.bits(np.asarray(b.column(0)).astype(np.uint64) << np.uint64(32), n_bits).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
 
-    rows = frequent.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    rows = frequent.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(n_bits // 64, np.uint64)
-    for r in rows:
-        table[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     discard(frequent)
     return Common(table)
 
@@ -324,11 +362,10 @@ def similar_documents(
     Words are runs without ASCII white space after lower-casing A-Z; a set holds the distinct shingles of
     ``words`` words, or the whole sequence of a shorter text.  The component is named by its smallest id.
 
-    - A candidate group goes to one task while its sets hold at most ``block`` shingles.  Larger ones mostly
-      hang together by passages that many documents share: their sets are signed again without the shingles
-      that more than ``often`` of them hold, which takes such groups apart.  A group that is still larger (near
-      copies in great number) is dealt into blocks by id, and a task compares two blocks.  Tasks return a link
-      per document.
+    - Passages that many documents share would tie most of them together: shingles of more than ``often`` texts
+      are counted first, and sets are signed without them.  A candidate group goes to one task while its sets
+      hold at most ``block`` shingles.  A larger one (near copies in great number) is dealt into blocks by id,
+      and a task compares two blocks.  Tasks return a link per document.
     - Null and empty texts have an empty set and are linked with nothing.  Null ids get a null component and
       are linked with nothing.  Rows that share an id are one node: its size is that of the largest set and
       all its links count.  An empty table gives an empty one; long texts are taken whole.  Other columns are
@@ -336,24 +373,15 @@ def similar_documents(
     """
     bands = Bands(num, den)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = cut(_signed(source, words, bands))
+    signed = cut(_signed(source, words, bands, _common(source, words, often)))
     candidates = cut(_candidates(signed))
     size = cut(signed.filter(F.col("kind") == _DOC).select(F.col("a").alias("id"), "n"))
     same = cut(signed.filter(F.col("kind") == _SAME).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     discard(signed)
     grouped = cut(components(candidates))
-    n = size.groupBy("id").agg(F.max("n").alias("n"))
-    sized = cut(grouped.withColumnRenamed("node", "id").join(n, "id"))
-    blocks = cut(sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")))
-    if not blocks.filter("blocks > 1").isEmpty():
-        large = sized.join(blocks.filter("blocks > 1"), "component", "left_semi").select("id")
-        texts = cut(source.join(large.hint("merge"), "id").select("id", "text"))
-        again = cut(_signed(texts, words, bands, _common(texts, words, often)))
-        finer = cut(components(_candidates(again).unionByName(again.filter(F.col("kind") == _SAME).select(F.col("a").alias("src"), F.col("b").alias("dst")))))
-        kept = sized.join(blocks.filter("blocks = 1"), "component", "left_semi")
-        sized = cut(kept.select("id", "component", "n").unionByName(finer.withColumnRenamed("node", "id").join(n, "id").select("id", "component", "n")))
-        blocks = cut(sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")))
-        discard(again, texts)
+    sized = cut(grouped.withColumnRenamed("node", "id").join(size.groupBy("id").agg(F.max("n").alias("n")), "id"))
+    discard(candidates, grouped)
+    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     dealt = sized.join(blocks, "component").select("id", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
     # block pairs (i <= j) that this document belongs to
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
