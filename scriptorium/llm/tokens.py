@@ -8,6 +8,7 @@ of a piece can be kept for its next use; every other text is encoded as a whole.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from .kept import kept
 
 _OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ["".join(x) for x in ((a, b, c) for a in " \n" for b in " \n" for c in " \n")]
+_ENDS = {a + b for a in " \n" for b in " \n"}
 _PIECES = 500_000  # pieces kept per worker, about 150 MB at most
 
 
@@ -42,6 +44,9 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}  # a piece after a blank
         self.line_end = self.whole("\n")
         self.marks = {m: self.whole(m) for m in ",.;:!?"}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.blank_first = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a blank
+        self.blank_first[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
         self.cuts = bool(re.search(r'"type"\s*:\s*"ByteLevel"', self.tokenizer.to_str()[:200_000])) and len(self.line_end) == 4
 
     def whole(self, text: str) -> bytes:
@@ -49,7 +54,7 @@ class Encoder:
         return np.array(ids, "<u4").tobytes()
 
     def learn(self, pieces: set[str], known: dict[str, bytes], before: str) -> None:
-        """Encode all new pieces in one call, as lines of one text."""
+        """Encode all new pieces in one call: behind blanks as words of one text, else as its lines."""
         new = pieces.difference(known)
         # a mark behind letters is a token run of its own
         marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
@@ -59,11 +64,15 @@ class Encoder:
             known[""] = self.whole(before) if before else b""
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            raw = self.whole(before + ("\n" + before).join(part))
-            ids = np.frombuffer(raw, "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0]) * 4
-            begin = [0, *(ends + 4).tolist()]
-            stop = [*ends.tolist(), len(raw)]
+            raw = self.whole(before + " ".join(part)) if before else b""
+            # a piece holds no blank, so the token that begins with one begins a piece
+            begin = (np.flatnonzero(self.blank_first[np.frombuffer(raw, "<u4")]) * 4).tolist()
+            stop = [*begin[1:], len(raw)]
+            if len(begin) != len(part):
+                raw = self.whole(before + ("\n" + before).join(part))
+                ends = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.line_end, "<u4")[0]) * 4
+                begin = [0, *(ends + 4).tolist()]
+                stop = [*ends.tolist(), len(raw)]
             known.update(zip(part, map(raw.__getitem__, map(slice, begin, stop))))
         for p in marked:
             known[p] = known[p[:-1]] + self.marks[p[-1]]
@@ -72,10 +81,10 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of every text; call with a bounded slice of texts."""
         if not self.cuts:
             return [self.whole(t) for t in texts]
-        if len(self.plain) + len(self.spaced) > _PIECES:
-            self.plain.clear()
-            self.spaced.clear()
-        lines = [[line.split(" ") for line in t.split("\n")] if divisible(t) and not any(c in t for c in self.control) else None for t in texts]
+        if len(self.plain) + len(self.spaced) > _PIECES:  # frequent pieces came first
+            self.plain, self.spaced = (dict(islice(known.items(), len(known) // 2)) for known in (self.plain, self.spaced))
+        plain_cut = divisible("\0".join(texts)) and not any(t[-2:] in _ENDS for t in texts)  # mostly all texts are; then one look is enough
+        lines = [[line.split(" ") for line in t.split("\n")] if (plain_cut or divisible(t)) and not any(c in t for c in self.control) else None for t in texts]
         first, rest = set(), set()
         for doc in lines:
             for pieces in doc or ():
