@@ -19,7 +19,7 @@ _kept: dict[Hashable, Any] = {}
 def kept(key: Hashable, build: Callable[[], Any]) -> Any:
     """The thing of that key, built if this worker holds another one or none."""
     if key not in _kept:
-        _kept.clear()
+        release()
         _kept[key] = build()
     return _kept[key]
 
@@ -27,6 +27,11 @@ def kept(key: Hashable, build: Callable[[], Any]) -> Any:
 def release() -> None:
     """Drop what an earlier stage left, and hand free memory back: an idle worker stays beside the next stage."""
     _kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Hand free memory back and keep what is kept."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

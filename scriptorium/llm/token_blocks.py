@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .kept import trim
 
 BLOCK = 128
 _HEAD = struct.Struct("<4sIQI")
@@ -143,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         for b in batches:
             ids_of = b.column(0)
-            for first, texts in tokens.text_slices(b.column(1)):
+            for first, texts in tokens.text_slices(b.column(1), 1 << 21):
                 for i, ids in enumerate(enc.encode(texts)):
                     doc_ids.append(ids_of[first + i].as_py())
                     raw.append(ids + end)
@@ -155,6 +156,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                         doc_ids.clear(), lengths.clear(), raw.clear()
         if doc_ids:
             yield row()
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(task, FILE_SCHEMA).write.parquet(path)
