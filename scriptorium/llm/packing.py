@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .kept import trim
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -88,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches):
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, 150_000)  # packing follows other stages, whose JVM has grown
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         levels, held, last, rows, size = Levels(window), {}, 0, [], 0
 
@@ -132,5 +133,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
             emit(pieces)
         if rows:
             yield batch()
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, SCHEMA)
