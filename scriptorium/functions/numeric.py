@@ -17,6 +17,25 @@ def to_number(col: str | Column, default: float | None = None, kind: str = "doub
     return c if default is None else F.coalesce(c, F.lit(default).cast(kind))
 
 
+def round_halves_up(c: Column, digits: int) -> Column:
+    """``digits`` decimals by the double ``c * 10^digits``, as SQL engines do; ``F.round`` goes by the shortest decimal text (1.005)."""
+    scale = float(10**digits)
+    return F.round(c.cast("double") * scale, 0) / scale
+
+
+def one_decimal(c: Column) -> Column:
+    """The text of C's ``%.1f`` for numbers from 0 to 10^15: by the exact binary value, ties to the even digit.
+
+    Java formats the shortest decimal text and rounds its halves up (6.25 to 6.3, 0.15 to 0.2).
+    """
+    x = c.cast("double")
+    low = F.floor(x * 10)
+    middle = 2 * low + 1  # twentieths
+    above = (16 * x - middle) + 4 * x  # its sign is exact: both differences are
+    tenths = F.when((above > 0) | (above == 0) & (low % 2 == 1), low + 1).otherwise(low)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def sample_skewness(skew: Column, n: Column) -> Column:
     """Bias-corrected skewness from the population one."""
     return F.when(n > 2, skew * F.sqrt(n * (n - 1)) / (n - 2))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import sample_kurtosis, sample_skewness
+from ..functions.numeric import one_decimal, round_halves_up, sample_kurtosis, sample_skewness
 from ..functions.ordering import top
 from ..functions.quantiles import exact_percentiles
 from .impact import core_indices, indices, thresholds
@@ -164,19 +164,26 @@ def describe_numeric(works: DataFrame, col: str, extra: bool = False) -> DataFra
             **{f"p{q}": t for q, t in zip((25, 75, 90, 95), tails)},
         })
         lines += [("Skewness", "skew", 3), ("Kurtosis", "kurt", 3)] + [(f"P{q}", f"p{q}", 2) for q in (25, 75, 90, 95)]
-    return _lines(row, col, [(name, F.round(F.col(c).cast("double"), d)) for name, c, d in lines])
+    return _lines(row, col, [(name, F.col(c), d) for name, c, d in lines])
 
 
-def _lines(row: DataFrame, variable: str, items: list[tuple[str, Column]]) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(n).alias("indicator"), _text_value(v).alias("value")) for n, v in items])
-    return row.select(F.lit(variable).alias("variable"), F.explode(arr).alias("l")).select("variable", "l.*").filter("value is not null")
+def _rounded_text(value: Column, digits: int) -> Column:
+    """A rounded number as plain text; what is rounded to nothing keeps its sign."""
+    near = round_halves_up(value, digits)
+    return F.when((near == 0) & (value < 0), "-0").otherwise(_text_value(near))
+
+
+def _lines(row: DataFrame, variable: str, items: list[tuple[str, Column, int]]) -> DataFrame:
+    """A line per item; what cannot be told (the deviation of one value) is a line without value."""
+    arr = F.array(*[F.struct(F.lit(n).alias("indicator"), _rounded_text(v, d).alias("value")) for n, v, d in items])
+    return row.select(F.lit(variable).alias("variable"), F.explode(arr).alias("l")).select("variable", "l.*")
 
 
 def _top_lines(counts: DataFrame, variable: str, pct_of: Column | None, k: int = 3) -> DataFrame:
     best = top(counts, k, F.desc("docs"), F.asc("entity"))
     ranked = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("o"), F.col("entity").alias("e"), "docs"))).alias("a"))
     pos = ranked.select(F.posexplode("a").alias("i", "r"))
-    pct = F.format_string(", %.1f%%", F.col("r.docs") / pct_of * 100) if pct_of is not None else F.lit("")
+    pct = F.concat(F.lit(", "), one_decimal(F.col("r.docs") / pct_of * 100), F.lit("%")) if pct_of is not None else F.lit("")
     return pos.select(
         F.lit(variable).alias("variable"), F.concat(F.lit("Top "), F.col("i") + 1).alias("indicator"),
         F.concat(F.col("r.e"), F.lit(" ("), F.col("r.docs"), pct, F.lit(")")).alias("value"),
@@ -192,7 +199,7 @@ def describe_string(works: DataFrame, col: str) -> DataFrame:
         F.coalesce(F.sum(F.when(~known, F.col("docs"))), F.lit(0)).alias("m"),
     )
     n = counts.agg(F.sum(F.when(known, F.col("docs")))).scalar()
-    head = _lines(row, col, [("Count", F.col("n")), ("Unique", F.col("u")), ("Missing", F.col("m"))])
+    head = _lines(row, col, [("Count", F.col("n"), 0), ("Unique", F.col("u"), 0), ("Missing", F.col("m"), 0)])
     return head.unionByName(_top_lines(counts.filter(known), col, n))
 
 
@@ -202,10 +209,10 @@ def describe_list(works: DataFrame, col: str) -> DataFrame:
 
     counts = count_list(works, col)
     with_items = works.agg(F.count_if(F.size(col) > 0)).scalar()
-    row = counts.agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("u")).withColumn("d", with_items)
+    row = counts.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("u")).withColumn("d", with_items)
     head = _lines(row, col, [
-        ("Total occurrences", F.col("n")), ("Unique items", F.col("u")),
-        ("Items per document", F.round(F.col("n") / F.col("d"), 2)),
+        ("Total occurrences", F.col("n"), 0), ("Unique items", F.col("u"), 0),
+        ("Items per document", F.try_divide("n", "d"), 2),
     ])
     return head.unionByName(_top_lines(counts, col, None))
 
@@ -222,7 +229,7 @@ def descriptive_statistics(works: DataFrame, variables: dict[str, str], extra: b
 
 
 def all_statistics(works: DataFrame, variables: dict[str, str]) -> DataFrame:
-    """Summary, performance, growth and descriptive lines in one ``(section, group, indicator, value)`` table."""
+    """Summary, performance, growth and descriptive lines with a value in one ``(section, group, indicator, value)`` table."""
     def part(df: DataFrame, section: str, group: str, value: Column) -> DataFrame:
         return df.select(F.lit(section).alias("section"), F.col(group).alias("group"), "indicator", value.alias("value"))
 
@@ -231,5 +238,5 @@ def all_statistics(works: DataFrame, variables: dict[str, str]) -> DataFrame:
         part(dataset_summary(works), "summary", "category", num)
         .unionByName(part(performance(works), "performance", "category", num))
         .unionByName(part(growth_statistics(works), "time series", "category", num))
-        .unionByName(part(descriptive_statistics(works, variables), "descriptive", "variable", F.col("value")))
+        .unionByName(part(descriptive_statistics(works, variables).filter("value is not null"), "descriptive", "variable", F.col("value")))
     )
